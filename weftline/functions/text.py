@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,32 +14,12 @@ from pyspark.sql import types as T
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
-@functools.cache
-def _unstable() -> str:
-    """A Java character class of all code points whose presence may make a text differ from its NFC form.
-
-    These are the marks that can be reordered, the characters that NFC replaces, and those that compose with the one before.
-    """
-    bad = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals, composed by rule
-    for cp in range(0x300, sys.maxunicode + 1):
-        c = chr(cp)
-        d = unicodedata.decomposition(c)
-        if unicodedata.combining(c):
-            bad.add(cp)
-        elif d and not d.startswith("<"):
-            parts = d.split()
-            if unicodedata.normalize("NFC", c) != c:
-                bad.add(cp)
-            elif len(parts) == 2:
-                bad.add(int(parts[1], 16))
-    out, run = [], []
-    for cp in sorted(bad):
-        if run and cp == run[1] + 1:
-            run[1] = cp
-        else:
-            run = [cp, cp]
-            out.append(run)
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+#: What a text must hold for NFC to change it: marks, conjoining Hangul, and the characters that NFC replaces (with some that it
+#: doesn't, so that the class stays short and quick).
+UNSTABLE = (
+    r"[\p{M}̀-·क़-य़ড়-য়ਲ਼-ਫ਼ଡ଼ଢ଼གྷ-ྐྵᄀ-ᇿά-´  "
+    r"ΩKÅ〈〉⫝̸豈-ﭏ\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -52,7 +30,7 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def nfc(text: Column) -> Column:
     """Unicode NFC. Only texts that hold a character that NFC may touch go through Python."""
-    return F.coalesce(_nfc(F.when(text.rlike(_unstable()), text)), text)
+    return F.coalesce(_nfc(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def lexical_tokens(text: Column, normalize: bool = True) -> Column:
