@@ -17,8 +17,8 @@ TOKEN = r"([\p{L}\p{N}]+)"
 #: What a text must hold for NFC to change it: marks, conjoining Hangul, and the characters that NFC replaces (with some that it
 #: doesn't, so that the class stays short and quick).
 UNSTABLE = (
-    r"[\p{M}̀-·क़-य़ড়-য়ਲ਼-ਫ਼ଡ଼ଢ଼གྷ-ྐྵᄀ-ᇿά-´  "
-    r"ΩKÅ〈〉⫝̸豈-ﭏ\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+    r"[\p{M}\u0340-\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D\u0F43-\u0FB9\u1100-\u11FF\u1F71-\u1FFD\u2000\u2001"
+    r"\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFB4F\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
 )
 
 
@@ -54,7 +54,7 @@ def collapse(text: Column) -> Column:
 
 def clean_text(text: Column, normalize: bool = True) -> Column:
     """Without byte order marks, in NFC, white space collapsed and stripped."""
-    bare = F.replace(text, F.lit("﻿"), F.lit(""))
+    bare = F.replace(text, F.lit("\ufeff"), F.lit(""))
     return collapse(nfc(bare) if normalize else bare)
 
 
