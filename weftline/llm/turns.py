@@ -32,8 +32,8 @@ _SOUND = r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]{1
 #: Sounds in round brackets, which otherwise are the speaker's own; the other brackets hold nothing else. Fixed values.
 _NAMED_SOUNDS = "aplausos|risas|música|musica|inaudible|ruido de fondo|applause|laughter|music|background noise|risos|inaudível|inaudivel|applaudissements|rires|musique|Applaus|Gelächter|Musik|unverständlich|аплодисменты|смех|музыка|неразборчиво|拍手|笑い|音楽|掌声|笑声|音乐|تصفيق|ضحك|موسيقى|तालियाँ|हँसी|संगीत|เสียงปรบมือ|เสียงหัวเราะ|ดนตรี"
 _SOUND_ONLY = r"(?iu)\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]{1,40}\*|[(（](?:" + _NAMED_SOUNDS + r")(?:\s*[0-9:]+)?[)）]|-->|" + _CLOCK
-#: Hesitation sounds of the languages, in lower case and without marks. Fixed values.
-_UM = "eh|em|este|m+|er|uh|um|hm+|hum|ha|ah|ahn|euh|heu|ahm|э|эм|мм|えーと|えと|あのー|あの|うーん|うん|呃|嗯|唔|اه|آه|ا?ممم|अमम|उमम|हमम|เออ|อืม|อม"
+#: Hesitation sounds of the languages. Fixed values.
+_UM = "eh|em|este|m+|er|uh|um|hm+|hum|hã|ha|ah|ahn|euh|heu|äh|ähm|ahm|э-э|э|эм|мм|えーと|えと|あのー|あの|うーん|うん|呃|嗯|唔|آه|اه|ا?ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
 _UM_IN_TEXT = "eh|em|mmm+|er|uh|um|hmm+|hum|hã|ahn|euh|heu|äh|ähm|hm|э-э|эм|мм|えーと|あのー|うーん|呃|嗯|唔|آه|ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
 _HEAD = r"^[\s﻿]*(?:" + _CLOCK + r"\s*)?((?:[^:：\s.!?,]+\.?\s+){0,3}[^:：\s.!?,]+(?:,\s*[^:：\s.!?,]+)?)\s*[:：]"
 
@@ -44,11 +44,13 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{M}", "")
 
 
+#: A whole text of nothing but sounds, clocks, hesitations and signs. It fails at the first spoken word, so most texts are left early.
+_SILENT = rf"(?iu)^(?:{_SOUND}|(?:{_UM})\p{{M}}*(?![\p{{L}}\p{{M}}\p{{N}}])|[^\p{{L}}\p{{N}}])*+$"
+
+
 def is_spoken(text: Column) -> Column:
     """Whether letters or digits are left besides sound annotations, clock marks and hesitation sounds; false for null."""
-    left = F.regexp_replace(text, _SOUND, " ")
-    left = F.regexp_replace(_bare(left), rf"(?<![\p{{L}}\p{{N}}])(?:{_UM})(?![\p{{L}}\p{{N}}])", " ")
-    return F.coalesce(left.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return F.coalesce(~text.rlike(_SILENT), F.lit(False))
 
 
 def spoken_words(text: Column) -> Column:
@@ -231,7 +233,7 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, words: bool = True)
         F.regexp_replace("start_time", "[0-9]", "9").alias("clock_shape"),
         is_spoken(F.col("text")).alias("spoken"),
         F.nullif(F.regexp_extract("text", _HEAD, 1), F.lit("")).alias("head"),
-        is_spoken(F.regexp_replace("text", _HEAD, " ")).alias("spoken_after_head"),
+        F.when(F.col("text").rlike(_HEAD), is_spoken(F.regexp_replace("text", _HEAD, " "))).otherwise(True).alias("spoken_after_head"),
         (spoken_words(F.col("text")) if words else F.lit(None).cast("string")).alias("words"),
     )
     rows = cut(once(rows.where("talk_id IS NOT NULL AND source_line IS NOT NULL AND spoken"), "talk_id", "source_line"))
