@@ -37,7 +37,7 @@ def utterance_checks(rows: DataFrame) -> DataFrame:
             "has_clock": F.col("start_seconds").isNotNull(),
             "clock_not_behind": F.col("_before").isNull() | F.col("start_seconds").isNull() | (F.col("start_seconds") >= F.col("_before")),
             "has_text": F.coalesce(F.col("text").rlike(NOT_BLANK), F.lit(False)),
-            "no_byte_order_mark": ~F.coalesce(F.contains("text", F.lit("﻿")), F.lit(False)),
+            "no_byte_order_mark": ~F.coalesce(F.contains("text", F.lit("\ufeff")), F.lit(False)),
         },
     )
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from weftline.functions.text import clean_label, clean_text, clock_seconds
 
 #: What ends a line: more than Spark's line reader knows.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: HH:MM:SS [label] and then text, which may be missing. Fixed format.
 GRAMMAR = r"^([0-9]{2}:[0-9]{2}:[0-9]{2}) \[([^\]]+)\](?:\s(.*))?$"
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_file, source_line, line) of whole files in UTF-8, a byte order mark stripped, blank lines numbered too."""
-    whole = spark.read.text([*paths], wholetext=True).select(F.input_file_name().alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    whole = spark.read.text([*paths], wholetext=True).select(F.input_file_name().alias("source_file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     # a final line end closes the last line and opens no other
     bare = F.regexp_replace("value", f"(?:{LINE_END})\\z", "")
     split = whole.where(F.length("value") > 0).select("source_file", F.posexplode(F.split(bare, LINE_END)).alias("pos", "line"))
