@@ -32,9 +32,9 @@ _CLUTTER = re.compile(r"[\[【{<♪*(（\d]|-->")
 _NOISE = re.compile(r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|\*[^*]{1,30}\*|[(（][^()（）.!?。！？]{0,40}[)）]|-->|\d+(?:[:.,]\d+)*")
 _PART = re.compile(r"[^.!?…。！？؟।॥\n]+[.!?…。！？؟।॥]*[\"'”’»」』）)]*")
 _HEAD = re.compile(r"\s*(?:[^\W\d_a-z][\w'’.]*\s+){0,3}[^\W\d_a-z][\w'’.]*\s*[:：]\s+")
-_FOREIGN = re.compile(r"[Ͱ-᷿Ⲁ-ꜟꠀ-꫿가-퟿豈-﫿יִ-﷿ﹰ-﻾ｦ-ￜ\U00010000-\U0003ffff]")
-_LATIN = re.compile(r"[A-Za-zª-ɏḀ-ỿ][\w'’̀-ͯ]*")
-_RUN = re.compile(r"(?:[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ̀-ͯ'’]*[\s,;:-]*){3,}")
+_FOREIGN = re.compile(r"[\u0370-\u1dff\u2c80-\ua71f\ua800-\uaaff\uac00-\ud7ff\uf900-\ufaff\ufb1d-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0003ffff]")
+_LATIN = re.compile(r"[A-Za-zª-\u024f\u1e00-\u1eff][\w'’\u0300-\u036f]*")
+_RUN = re.compile(r"(?:[A-Za-zÀ-\u024f][A-Za-zÀ-\u024f\u0300-\u036f'’]*[\s,;:-]*){3,}")
 _PLAIN_OTHER = re.compile(r"[\W\d_]+")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 

@@ -35,7 +35,7 @@ _SOUND_ONLY = r"(?iu)\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|
 #: Hesitation sounds of the languages. Fixed values.
 _UM = "eh|em|este|m+|er|uh|um|hm+|hum|hã|ha|ah|ahn|euh|heu|äh|ähm|ahm|э-э|э|эм|мм|えーと|えと|あのー|あの|うーん|うん|呃|嗯|唔|آه|اه|ا?ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
 _UM_IN_TEXT = "eh|em|mmm+|er|uh|um|hmm+|hum|hã|ahn|euh|heu|äh|ähm|hm|э-э|эм|мм|えーと|あのー|うーん|呃|嗯|唔|آه|ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
-_HEAD = r"^[\s﻿]*(?:" + _CLOCK + r"\s*)?((?:[^:：\s.!?,]+\.?\s+){0,3}[^:：\s.!?,]+(?:,\s*[^:：\s.!?,]+)?)\s*[:：]"
+_HEAD = r"^[\s\ufeff]*(?:" + _CLOCK + r"\s*)?((?:[^:：\s.!?,]+\.?\s+){0,3}[^:：\s.!?,]+(?:,\s*[^:：\s.!?,]+)?)\s*[:：]"
 
 
 def _bare(text: Column) -> Column:
@@ -55,7 +55,7 @@ def is_spoken(text: Column) -> Column:
 
 def spoken_words(text: Column) -> Column:
     """The text without annotations, clocks and hesitations, repeated words once, white space collapsed."""
-    left = F.regexp_replace(F.replace(text, F.lit("﻿"), F.lit("")), _SOUND_ONLY, " ")
+    left = F.regexp_replace(F.replace(text, F.lit("\ufeff"), F.lit("")), _SOUND_ONLY, " ")
     left = F.regexp_replace(left, rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_UM_IN_TEXT})(?![\p{{L}}\p{{M}}\p{{N}}])(?:\s*(?:,|，|、|\.\.\.|…))?", " ")
     left = F.regexp_replace(left, r"(?iu)(?<![\p{L}\p{M}])([\p{L}\p{M}]+)(?:\s+\1(?![\p{L}\p{M}]))+", "$1")
     left = F.regexp_replace(left, r"[\s\p{Z}]+", " ")
