@@ -77,7 +77,7 @@ def pack(docs: DataFrame, containers: DataFrame, held: int = 20_000) -> DataFram
     capacity take nothing and are left out.
     """
     kinds = F.broadcast(containers.where("capacity_tokens > 0").select("container_name", "capacity_tokens").dropDuplicates(["container_name"]))  # a row per kind of container
-    each = docs.crossJoin(kinds)
+    each = cut(docs.select("doc_id", "tokens")).crossJoin(kinds)  # texts are read and counted once
     empty = each.where("tokens = 0").select("container_name", "capacity_tokens", F.lit(None).cast("string").alias("container"), "doc_id", F.lit(0).alias("part"), F.lit(0).alias("first_token"), F.lit(0).alias("tokens"))
     parts = F.sequence(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("int"))
     cuts = each.where("tokens > 0").withColumn("part", F.explode(parts))
