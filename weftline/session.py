@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_spark(app: str = "weftline", master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with the settings that the engine is tested with; a cluster brings its own."""
@@ -25,7 +29,22 @@ def get_spark(app: str = "weftline", master: str = "local[8]", **conf: str) -> S
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"  # on the driver; Spark serves it from there
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((root / "weftline").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder; the way by which queries begin."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
