@@ -14,38 +14,48 @@ is bounded whatever the documents; rarer words are judged by their shape.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEPT = 20_000
-_BREAK = regex.compile(r"\s*(?:\r\n|[\n\r\x0b\x0c\x85  ])[^\S\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*")
+_BREAK = re.compile(r"\s*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
 _SIGN = r"(?P<mark>[.!?…。！？؟।॥｡．]+)(?P<shut>(?:[\"'”’“」』）)\]\}】》〉]|\s*»)*)"
-_MARK = regex.compile(_SIGN)
-_MARK_OR_GAP = regex.compile(_SIGN + r"|(?:(?<=\p{Thai})|(?<=\p{Thai}[”\"]))(?P<gap>\s+)(?=\S)|(?<=\S)(?P<gap2>\s+)(?=\p{Thai})")
-_LIST = regex.compile(r"\s*(?:[•◦▪*–—-]\s+|(?:\p{N}{1,3}|\p{L})[.)]\s+)+")
-_LEAD = regex.compile(r"[\s\"'“”‘’„«»「『（(\[{【《¿¡•◦▪–—*-]*")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
-_TAIL = regex.compile(r"[^\s\"'“”‘’„«»「『（(\[{【《¿¡]*$")
-_DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_THAI = regex.compile(r"\p{Thai}")
+_MARK = re.compile(_SIGN)
+_MARK_OR_GAP = re.compile(_SIGN + r"|(?:(?<=[\u0e01-\u0e5b])|(?<=[\u0e01-\u0e5b][”\"]))\s+(?=\S)|(?<=\S)\s+(?=[\u0e01-\u0e5b])")
+_LIST = re.compile(r"\s*(?:[•◦▪*–—-]\s+|(?:\d{1,3}|[^\W\d_])[.)]\s+)+")
+_LEAD = re.compile(r"[\s\"'“”‘’„«»「『（(\[{【《¿¡•◦▪–—*-]*")
+#: A word with the marks of the scripts that write vowels as marks.
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u0670\u0900-\u0dff\u0e31-\u0e4e'’](?!\W))*")
+_THAI = re.compile(r"[\u0e01-\u0e5b]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_TO_QUOTE = re.compile(r".*[\"'“”‘’„«»「『（(\[{【《¿¡]", re.S)
 _QUOTE, _OPEN, _SHUT = set("\"“”„«»「」『』"), set("(（[【{"), set(")）]】}")
+_SIGNS = re.compile(r"[\"“”„«»「」『』(（\[【{)）\]】}]")
 _ENDS = set("\"”’“」』»'")
 #: Weights of the model. PLAIN is what a further boundary is worth by its mark.
 PLAIN = {".": 1.6, "!": 3.0, "?": 3.0, "…": 2.2, "。": 4.0, "！": 3.5, "？": 3.5, "؟": 3.0, "।": 4.0, "॥": 4.0, " ": 1.2}
-LOWER, OPEN_PAIR, GLUED, HOLLOW, ECHO, SMOOTH, MOST_SPAN = -7.0, -4.5, -0.5, -8.0, -5.0, 4.0, 60
+LOWER, OPEN_PAIR, GLUED, HOLLOW, ECHO, SMOOTH, MOST_SPAN = -7.0, -4.5, -0.5, -8.0, -5.0, 4.0, 40
+
+
+def _thai(c: str) -> bool:
+    return "\u0e01" <= c <= "\u0e5b"
+
+
+def _dense(c: str) -> bool:
+    return c >= "\u3040" and (c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000")
 
 
 def _shape(word: str) -> str:
     if not word:
         return "none"
-    if _THAI.match(word[-1]):
+    if _thai(word[-1]):
         return "thai"
-    if _DENSE.match(word[-1]):
+    if _dense(word[-1]):
         return "dense"
     core = word.strip(".")
     if len(core) == 1 and core.isalpha():
@@ -67,9 +77,9 @@ def _opening(text: str, at: int, end: int) -> tuple[str, str]:
     if at >= end:
         return "", "none"
     c = text[at]
-    if _THAI.match(c):
+    if _thai(c):
         return text[at : min(at + 5, end)], "thai"
-    if _DENSE.match(c):
+    if _dense(c):
         return text[at : min(at + 2, end)], "dense"
     m = _WORD.match(text, at, end)
     if not m:
@@ -82,12 +92,12 @@ def _opening(text: str, at: int, end: int) -> tuple[str, str]:
 
 def _closing(text: str, begin: int, at: int, mark: str, shut: str) -> tuple[str, str]:
     """The closing word before a mark, with the mark and what closes after it, and their shape."""
-    word = _TAIL.search(text, max(begin, at - 24), at)[0] if mark != " " else text[max(begin, at - 24) : at].split()[-1]
-    if not word:
-        rest = text[max(begin, at - 24) : at].split()
-        word = rest[-1] if rest else ""
-    if word and (_DENSE.match(word[-1]) or _THAI.match(word[-1])):
-        word = word[-4:] if _THAI.match(word[-1]) else word[-2:]
+    rest = text[max(begin, at - 24) : at].rsplit(None, 1)
+    word = rest[-1] if rest else ""
+    if m := _TO_QUOTE.match(word):
+        word = word[m.end() :] or word
+    if word and (_dense(word[-1]) or _thai(word[-1])):
+        word = word[-4:] if _thai(word[-1]) else word[-2:]
     sign = mark + ("»" if shut.strip() else "")
     return word[-16:] + sign, _shape(word) + sign
 
@@ -157,23 +167,25 @@ def pieces(text: str) -> Iterator[Piece]:
 
 def _counts(text: str, out: Counter) -> None:
     """Adds (kind, key, sure or not): o and c are opening and closing words, O and C their shapes, q closing words after a quotation,
-    L the rounded log lengths of units that hold no possible boundary."""
+    L the rounded log lengths of units that hold no possible boundary. What a paragraph says n times weighs 1 + log2 n, in
+    sixteenths, so that one that says the same thousands of times doesn't outweigh all others."""
     for p in pieces(text):
-        out["o", p.first[0], 1] += 1
-        out["O", p.first[1], 1] += 1
-        out["c", p.last[0], 1] += 1
-        out["C", p.last[1], 1] += 1
-        for (word, shape), (last, end) in zip(p.open, p.close):
-            out["o", word, 0] += 1
-            out["O", shape, 0] += 1
-            out["c", last, 0] += 1
-            out["C", end, 0] += 1
-        for i, (a, b) in enumerate(p.spots):
-            if text[a - 1] in _ENDS:
-                after = p.close[i + 1][0] if i + 1 < len(p.spots) else p.last[0]
-                out["q", after, 1] += 1
-        if not p.spots and p.end - p.begin > 3:
-            out["L", f"{int(p.dense)} {round(4 * math.log(p.end - p.begin))}", 1] += 1
+        out["o", p.first[0], 1] += 16
+        out["O", p.first[1], 1] += 16
+        out["c", p.last[0], 1] += 16
+        out["C", p.last[1], 1] += 16
+        if not p.spots:
+            if p.end - p.begin > 3:
+                out["L", f"{int(p.dense)} {round(4 * math.log(p.end - p.begin))}", 1] += 16
+            continue
+        for kind, held in (("o", p.open), ("c", p.close)):
+            for (word, shape), n in Counter(held).items():
+                weight = round(16 * (1 + math.log2(n)))
+                out[kind, word, 0] += weight
+                out[kind.upper(), shape, 0] += weight
+        after = [p.close[i + 1][0] if i + 1 < len(p.spots) else p.last[0] for i, (a, _) in enumerate(p.spots) if text[a - 1] in _ENDS]
+        for word, n in Counter(after).items():
+            out["q", word, 1] += round(16 * (1 + math.log2(n)))
 
 
 def statistics(documents: DataFrame, held: int = 200_000) -> dict:
@@ -206,7 +218,7 @@ def statistics(documents: DataFrame, held: int = 200_000) -> dict:
     each.unpersist()
     table: dict = {}
     for kind, key, sure, other in kept:
-        table.setdefault(kind, {})[key] = (sure, other)
+        table.setdefault(kind, {})[key] = (sure / 16, other / 16)
     return table
 
 
@@ -226,18 +238,29 @@ class Model:
         self.size = {}
         for dense in (0, 1):
             held = [(int(k.split()[1]) / 4, v[0]) for k, v in table.get("L", {}).items() if k.startswith(f"{dense} ")]
-            n = sum(v for _, v in held)
-            mean = sum(x * v for x, v in held) / n if n else 4.0
-            var = sum((x - mean) ** 2 * v for x, v in held) / n if n else 0.3
-            self.size[bool(dense)] = (mean, max(var, 0.1))
+            n, guess = sum(v for _, v in held) + 10, 3.3 if dense else 4.2  # as if ten units of ordinary length had been seen
+            mean = (sum(x * v for x, v in held) + 10 * guess) / n
+            var = (sum((x - mean) ** 2 * v for x, v in held) + 10) / n
+            self.size[bool(dense)] = (mean, var)
+        self.lengths = {d: [self._length(d, n) for n in range(2000)] for d in (False, True)}
+        self.known: dict = {}
 
     def word(self, kind: str, key: tuple[str, str]) -> float:
-        base, rates = self.rate[kind]
-        prior = rates.get(key[1], base)
-        sure, other = self.seen[kind].get(key[0], (0, 0))
-        return math.log((sure + SMOOTH * prior) / (sure + other + SMOOTH) / base)
+        score = self.known.get((kind, *key))
+        if score is None:
+            base, rates = self.rate[kind]
+            prior = rates.get(key[1], base)
+            sure, other = self.seen[kind].get(key[0], (0, 0))
+            score = math.log((sure + SMOOTH * prior) / (sure + other + SMOOTH) / base)
+            if len(self.known) < 200_000:
+                self.known[(kind, *key)] = score
+        return score
 
     def length(self, dense: bool, n: int) -> float:
+        held = self.lengths[dense]
+        return held[n] if n < len(held) else self._length(dense, n)
+
+    def _length(self, dense: bool, n: int) -> float:
         mean, var = self.size[dense]
         return max(-3.0, -0.25 * (math.log(max(n, 1)) - mean) ** 2 / var)
 
@@ -263,40 +286,44 @@ class Model:
         ends = [p.spots[i][0] for i in kept] + [p.end]
         starts = [p.begin] + [p.spots[i][1] for i in kept]
         last = [p.close[i] for i in kept] + [p.last]
-        quotes, depth, q, d, at = [], [], 0, 0, p.begin
-        marks = {}
+        q = d = 0
+        signs, marks = _SIGNS.finditer(text, p.begin, p.end), {}
+        sign = next(signs, None)
         for edge in sorted({*ends, *starts}):
-            for c in text[at:edge]:
-                if c in _QUOTE:
+            while sign and sign.start() < edge:
+                if (c := sign[0]) in _QUOTE:
                     q += 1
-                elif c in _OPEN:
-                    d += 1
-                elif c in _SHUT:
-                    d -= 1
-            at = edge
+                else:
+                    d += 1 if c in _OPEN else -1
+                sign = next(signs, None)
             marks[edge] = (q, d)
-        quotes = [marks[e] for e in ends]
-        depth = [marks[s] for s in starts]
         n = len(ends)
+        after = [marks[x] for x in starts]  # signs before a unit's start
+        quoted = [False] + [text[e - 1] in _ENDS for e in ends[:-1]]
         best, back = [-math.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
+        size, most = self.lengths[p.dense], len(self.lengths[p.dense])
+        base = [0.0] * (n + 1)  # the best score up to a start, with what its boundary gains
         for j in range(n):
+            end, (q, d), echo = ends[j], marks[ends[j]], self.echo(last[j])
+            top, arg = -math.inf, 0
             for i in range(j, max(-1, j - MOST_SPAN), -1):
-                if best[i] == -math.inf:
-                    continue
-                s = best[i] + self.length(p.dense, ends[j] - starts[i])
-                if (quotes[j][0] - depth[i][0]) % 2:
+                k = end - starts[i]
+                s = base[i] + (size[k] if k < most else -3.0)
+                before, deep = after[i]
+                if (q - before) & 1:
                     s += OPEN_PAIR
-                if quotes[j][1] != depth[i][1]:
+                if d != deep:
                     s += OPEN_PAIR
-                if i:
-                    s += gain[i - 1]
-                    if text[ends[i - 1] - 1] in _ENDS and self.echo(last[j]):
-                        s += ECHO
-                if ends[j] - starts[i] < 8 and not _WORD.search(text, starts[i], ends[j]):
+                if echo and quoted[i]:
+                    s += ECHO
+                if k < 8 and not _WORD.search(text, starts[i], end):
                     s += HOLLOW
-                if s > best[j + 1]:
-                    best[j + 1], back[j + 1] = s, i
+                if s > top:
+                    top, arg = s, i
+            best[j + 1], back[j + 1] = top, arg
+            if j + 1 < n:
+                base[j + 1] = top + gain[j]
         out, j = [], n
         while j:
             i = back[j]
