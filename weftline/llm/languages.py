@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.session import cut
-
 from .langnames import names, parse
 
 GRAMS = (3, 4)
 TOP = 3000
 ABSENT = 6000
-OFTEN = 0.004
+OFTEN = 0.002
 NEARLY = 1.15
 _CLUTTER = re.compile(r"[\[【{<♪*(（\d]|-->")
 _NOISE = re.compile(r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|\*[^*]{1,30}\*|[(（][^()（）.!?。！？]{0,40}[)）]|-->|\d+(?:[:.,]\d+)*")
@@ -59,6 +57,12 @@ def _letters(piece: str) -> tuple[str, bool]:
     return " ".join([w for w in words.split() if w not in HESITATIONS]), foreign
 
 
+def _says_more(words: list[str]) -> bool:
+    """Whether Latin words are more than a name, even one that is begun twice."""
+    capital = {w.lower() for w in words if not w[0].islower()}
+    return len({w for w in words if w[0].islower()} - capital) > 1
+
+
 def parts(text: str) -> list[tuple[int, int, str]]:
     """(start, end, letters): the sentences of a text as far as languages need them, sounds, clocks, numbers and names that head it
     left out. What stands between marks but is too short to be told, as after an abbreviation, joins what follows."""
@@ -71,7 +75,7 @@ def parts(text: str) -> list[tuple[int, int, str]]:
         cuts = [(a, b)]
         if not (s := m[0]).isascii() and _FOREIGN.search(s):
             # Latin words in a row beside another script are a sentence of their own, unless they are names
-            runs = [r.span() for r in _RUN.finditer(s) if any(w[0].islower() for w in _LATIN.findall(r[0])[1:])]
+            runs = [r.span() for r in _RUN.finditer(s) if _says_more(_LATIN.findall(r[0]))]
             if runs:
                 edges = sorted({0, len(s), *(x for r in runs for x in r)})
                 cuts = [(a + x, a + y) for x, y in zip(edges, edges[1:])]
@@ -191,13 +195,12 @@ class Profiles:
         return best, sure, mean
 
 
-def profiles(samples: DataFrame, labelled: DataFrame, most: int = 1500) -> Profiles:
+def profiles(samples: DataFrame, labelled: DataFrame, most: int = 2500) -> Profiles:
     """Profiles from a small table of correct samples (lang, text), which is collected whole, and from at most `most` rows per language
-    of labelled (lang, text), drawn by hash, of which those of one part are used."""
+    of labelled (talk_id, source_line, lang, text), drawn by the hash of their key, of which those of one part are used."""
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()
     codes = sorted({r[0] for r in rows})
-    own = labelled.select(F.lower("lang").alias("lang"), "text").where(F.col("lang").isin(codes) & F.col("text").isNotNull())
-    own = own.withColumn("_h", F.xxhash64("text"))
+    own = labelled.select(F.lower("lang").alias("lang"), "text", F.xxhash64("talk_id", "source_line").alias("_h")).where(F.col("lang").isin(codes) & F.col("text").isNotNull())
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "text"))
     more: dict[str, list[str]] = {}
     for lang, text in own.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", "text").collect():  # the bounded sample
@@ -261,8 +264,8 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
     p = profiles(samples, utterances)
     model, table = spark.sparkContext.broadcast(p), names(spark, p.codes)
     spoken = utterances.select("talk_id", "source_line", "text", "lang").where("text IS NOT NULL AND trim(text) != ''")
+    # a talk's repeated row doubles all its lines, which leaves their shares as they are
     texts = talks.where("text IS NOT NULL").select("talk_id", "text", F.array_join("languages", ";").alias("lang"))
-    texts = texts.dropDuplicates(["talk_id"])
     lines = texts.select("talk_id", F.lit(0).alias("source_line"), F.explode(F.split("text", "\n")).alias("text"), "lang")
     both = spoken.unionByName(lines).repartition("talk_id", "text").sortWithinPartitions("talk_id", "text")
 
@@ -271,7 +274,7 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
         for whole in batches:
             for off in range(0, len(whole), size):
                 b = whole.slice(off, size)
-                lang, text, line = (b.column(c).to_pylist() for c in ("lang", "text", "source_line"))
+                talk, lang, text, line = (b.column(c).to_pylist() for c in ("talk_id", "lang", "text", "source_line"))
                 told = [seen[x] if x in seen else seen.setdefault(x, parse(x, table)) for x in lang]
                 # equal lines stand together: the first one's judgement holds for all that follow
                 first, whose = [], []
@@ -283,25 +286,25 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
                 found: list[dict[str, float]] = [{} for _ in first]
                 for k, _, _, code, sure in _judged(model.value, [text[i] for i in first], names_):
                     found[k][code] = max(sure, found[k].get(code, 0.0))
-                row, codes, sures, named = [], [], [], []
+                # utterances give a row per language, a talk's lines are summed up here as far as they are at hand
+                sums: dict[tuple, list] = {}
                 for i, k in enumerate(whose):
-                    for code, sure in found[k].items() or ([(None, 0.0)] if line[i] == 0 else ()):
-                        row.append(i)
-                        codes.append(code)
-                        sures.append(sure)
-                        named.append(code in told[i])
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("talk_id").take(take), b.column("source_line").take(take), pa.array(codes, pa.string()), pa.array(sures, pa.float64()), pa.array(named, pa.bool_()), pa.array([1.0 / max(1, len(found[whose[i]])) for i in row], pa.float64())], ["talk_id", "source_line", "lang", "confidence", "named", "weight"])
-
-    schema = "talk_id string, source_line int, lang string, confidence double, named boolean, weight double"
-    judged = cut(both.mapInArrow(run, schema))
-    rows = judged.where("source_line != 0").groupBy("talk_id", "source_line", "lang").agg(F.max("confidence").alias("confidence"), F.bool_or("named").alias("named"))
-    of = judged.where("source_line = 0")
+                    many = found[k].items() or ([(None, 0.0)] if line[i] == 0 else ())
+                    for code, sure in many:
+                        x = sums.setdefault((talk[i], line[i], code), [0.0, False, 0, 0.0])
+                        x[0] = max(x[0], sure)
+                        x[1] |= code in told[i]
+                        x[2] += 1
+                        x[3] += 1.0 / len(many)
+                columns = [*zip(*((*key, *x) for key, x in sums.items()))] or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.float64()))], ["talk_id", "source_line", "lang", "confidence", "named", "n", "weight"])
+
+    schema = "talk_id string, source_line int, lang string, confidence double, named boolean, n bigint, weight double"
+    each = both.mapInArrow(run, schema).groupBy("talk_id", "source_line", "lang").agg(F.max("confidence").alias("confidence"), F.bool_or("named").alias("named"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     # a line in several languages has a row for each, whose weights make up one line
-    total = of.groupBy("talk_id").agg(F.sum("weight").alias("_lines"))
-    wide = of.where("lang IS NOT NULL").groupBy("talk_id", "lang").agg(F.count(F.lit(1)).alias("_n"), F.avg("confidence").alias("confidence"), F.bool_or("named").alias("named"))
-    wide = wide.join(total, "talk_id").where(F.col("_n") >= share * F.round(F.col("_lines")) - 1e-9)
-    return rows.unionByName(wide.select("talk_id", F.lit(0).alias("source_line"), "lang", "confidence", "named"))
+    total = F.round(F.sum("weight").over(W.partitionBy("talk_id", "source_line")))
+    kept = each.withColumn("_lines", total).where(F.col("lang").isNotNull() & ((F.col("source_line") != 0) | (F.col("n") >= share * F.col("_lines") - 1e-9)))
+    return kept.select("talk_id", "source_line", "lang", "confidence", "named")
 
 
 def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame) -> DataFrame:
