@@ -11,6 +11,7 @@ Copies of a vector are searched for once: they form a class that its least id st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,9 @@ def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visi
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], FOUND)
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").select("packed").limit(sample).collect()  # the bounded sample
+    hashed = F.pmod(F.xxhash64("id"), F.lit(2**30))
+    few = vectors.where(hashed < math.ceil(min(1.0, 1.3 * sample / n) * 2**30))  # so that tasks send no more than is wanted
+    drawn = few.orderBy(hashed, "id").select("packed").limit(sample).collect()  # the bounded sample
     points = np.frombuffer(b"".join(bytes(r[0]) for r in drawn), np.float32).reshape(len(drawn), -1)
     points = points / np.linalg.norm(points, axis=1, keepdims=True)
     depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(points) / 8, 1)))))
@@ -133,7 +136,13 @@ def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visi
 
     routed = vectors.withColumn("asks", F.lit(True) if queries is None else queries).mapInArrow(route, "leaf int, role tinyint, id bigint, packed binary")
     # leaves that are too large are cut into blocks of indexed vectors, each of which meets all the leaf's queries
-    over = routed.where(F.col("role").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") > block)
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                home = forest.value.home(_matrix(b.column(0).slice(at, 2000)).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(home.ravel(), pa.int32())], ["leaf"])
+
+    over = vectors.select("packed").mapInArrow(settle, "leaf int").groupBy("leaf").count().where(F.col("count") > block)
     over = over.select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks")).collect()  # at most trees * n / block of the forest's leaves
     blocks = {r[0]: r[1] for r in over}
     if blocks:
@@ -166,8 +175,9 @@ def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visi
         return pa.table({"a": a, "b": b, "cosine": c})
 
     pairs = routed.groupBy("leaf", "block").applyInArrow(best, FOUND)
-    if queries is None:
-        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    if queries is None:  # what a finds is found for b too
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = pairs.select(F.explode(both).alias("_p"), "cosine").select("_p.a", "_p.b", "cosine")
     pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
@@ -198,7 +208,7 @@ def neighbors(rows: DataFrame, k: int = 5, floor: float = -1.0, only: Column | N
         near = found if near is None else near.unionByName(found)
     if near is None:
         return rows.sparkSession.createDataFrame([], "row_index bigint, neighbor bigint, cosine double, rank int")
-    members = members.join(classes.select("_class", "id"), "_class").select("row_index", "id", "_asks")
+    members = cut(members.join(classes.select("_class", "id"), "_class").select("row_index", "id", "_asks"))
     first = members.select("id", F.col("row_index").alias("neighbor")).withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("neighbor"))).where(F.col("_r") <= k + 1).drop("_r")
     lists = near.join(first.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "neighbor", "cosine")
     shared = first.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).where("_n > 1").select("id", "neighbor", F.lit(1.0).alias("cosine"))
