@@ -242,8 +242,8 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, words: bool = True)
     own = speakers.where("talk_id IS NOT NULL AND speaker_id IS NOT NULL AND display_name IS NOT NULL AND speaker_no IS NOT NULL").select("talk_id", person.alias("person"), "display_name").distinct()
     # a talk's people, not its lines: a list that grows with no table
     people = own.groupBy("talk_id").agg(F.array_join(F.array_sort(F.collect_list("person")), "\x1e").alias("people"), F.array_distinct(F.flatten(F.collect_list(F.split(_bare(F.col("display_name")), r"\s+")))).alias("name_words"), F.count(F.lit(1)).cast("int").alias("speakers_of_talk"))
-    rows = rows.join(people, "talk_id", "left")
-    labels = tokenized(rows.groupBy("talk_id", "label").agg(F.count(F.lit(1)).alias("n"), F.first("name_words").alias("name_words"), F.first("speakers_of_talk").alias("speakers_of_talk")))
+    labels = cut(tokenized(rows.groupBy("talk_id", "label").agg(F.count(F.lit(1)).alias("n")).join(people.drop("people"), "talk_id", "left")))
+    rows = rows.join(people.select("talk_id", "people"), "talk_id", "left")
     first, last = _branch(labels.select("first", "n"), "first"), _branch(labels.select("last", "n"), "last")
 
     def climbed(df: DataFrame) -> DataFrame:
