@@ -71,8 +71,14 @@ def _shape(word: str) -> str:
     return "short*" if len(core) <= 2 else "other"
 
 
-def _opening(text: str, at: int, end: int) -> tuple[str, str]:
-    """The opening word at a position, and its shape."""
+def _opening(text: str, at: int, end: int, spaced: bool) -> tuple[str, str]:
+    """The opening word at a position, and its shape. spaced: spaces may be boundaries here, so that numbers and names follow possible
+    boundaries far more often than elsewhere and are counted apart."""
+    word, shape = _first(text, at, end)
+    return (f"{word}~", f"{shape}~") if spaced and shape != "thai" else (word, shape)
+
+
+def _first(text: str, at: int, end: int) -> tuple[str, str]:
     at = _LEAD.match(text, at, end).end()
     if at >= end:
         return "", "none"
@@ -87,10 +93,12 @@ def _opening(text: str, at: int, end: int) -> tuple[str, str]:
     word = m[0][:16]
     if c.islower():
         return word, "lower"
-    return word, "number" if c.isdigit() else "Cap" if c.isupper() else "other"
+    if c.isdigit():
+        return "0", "number"  # which number says nothing
+    return word, "Cap" if c.isupper() else "other"
 
 
-def _closing(text: str, begin: int, at: int, mark: str, shut: str) -> tuple[str, str]:
+def _closing(text: str, begin: int, at: int, mark: str, shut: str, spaced: bool) -> tuple[str, str]:
     """The closing word before a mark, with the mark and what closes after it, and their shape."""
     rest = text[max(begin, at - 24) : at].rsplit(None, 1)
     word = rest[-1] if rest else ""
@@ -98,7 +106,7 @@ def _closing(text: str, begin: int, at: int, mark: str, shut: str) -> tuple[str,
         word = word[m.end() :] or word
     if word and (_dense(word[-1]) or _thai(word[-1])):
         word = word[-4:] if _thai(word[-1]) else word[-2:]
-    sign = mark + ("»" if shut.strip() else "")
+    sign = mark + ("»" if shut.strip() else "") + "~" * spaced
     return word[-16:] + sign, _shape(word) + sign
 
 
@@ -140,15 +148,15 @@ class Piece:
                 if b == a and mark in ".!?…" and not shut and (text[b].isdigit() or text[b].islower() or text[b] in ",;:"):
                     continue
             self.spots.append((a, b))
-            self.close.append(_closing(text, begin, word_end, mark, shut))
-            self.open.append(_opening(text, b, end))
+            self.close.append(_closing(text, begin, word_end, mark, shut, thai))
+            self.open.append(_opening(text, b, end, thai))
             self.kind.append(mark)
             self.glued.append(b == a and mark in ".!?…")
-        self.first = _opening(text, begin, end)
+        self.first = _opening(text, begin, end, thai)
         if final:
-            self.last = _closing(text, begin, final[0], final[1], final[2])
+            self.last = _closing(text, begin, *final, thai)
         else:
-            self.last = _closing(text, begin, end, " ", "")
+            self.last = _closing(text, begin, end, " ", "", thai)
         self.dense = thai or bool(_DENSE.search(text, begin, end))
 
 
@@ -278,7 +286,7 @@ class Model:
     def _best(self, text: str, p: Piece) -> list[tuple[int, int]]:
         gain, kept = [], []
         for i, (kind, (word, shape)) in enumerate(zip(p.kind, p.open)):
-            g = PLAIN.get(kind, 1.6) + (LOWER if shape == "lower" else self.word("o", (word, shape))) + self.word("c", p.close[i]) + (GLUED if p.glued[i] else 0)
+            g = PLAIN.get(kind, 1.6) + (LOWER if shape.startswith("lower") else self.word("o", (word, shape))) + self.word("c", p.close[i]) + (GLUED if p.glued[i] else 0)
             if g > -3:
                 kept.append(i)
                 gain.append(g)
