@@ -90,7 +90,7 @@ def aggregate(spark: SparkSession, leaves: dict[str, int], limit: int, memory: s
                 files, place = pyarrow.fs.FileSystem.from_uri(path)
                 partial = pyarrow.dataset.dataset(place, filesystem=files, format="parquet")
                 config = {"memory_limit": memory, "threads": 1}
-                if path.startswith("file:"):
+                if isinstance(files, pyarrow.fs.LocalFileSystem):
                     config["temp_directory"] = f"{place}-spill"
                 with duckdb.connect(config=config) as c:
                     c.register("partial", partial)
