@@ -224,6 +224,27 @@ def test_mix_order_and_caps(spark):
     assert mixing.shares(df.limit(0), t, block=10).where("tokens > 0").count() == 0 and mixing.shares(df, t.limit(0)).count() == 0
 
 
+def test_short_sources_come_from_the_draw(spark):
+    rng = random.Random(7)
+    docs = [(i, "abcdef"[rng.randrange(6)], rng.randrange(1, 30)) for i in range(300)]
+    has = Counter()
+    for _, s, n in docs:
+        has[s] += n
+    targets = []
+    for m in range(30):
+        budget, repeats = rng.choice([5, 400, 3000, 20_000]), rng.randrange(0, 5)
+        targets += [(f"m{m}", s, rng.choice([0.0, 0.05, 0.1, 0.3, 0.6]), repeats, budget) for s in "abcdefg"] + [(f"m{m}", "h", 0.1, 3, budget)]
+        # one at the edge: all its tokens are just its share, or one too few
+        targets += [(f"e{m}", "a", (has["a"] * 2 + m % 2) / 4096, 2, 4096), (f"e{m}", "b", 0.5, 9, 4096)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens int")
+    t = spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int, budget_tokens bigint")
+    found = mixing.short_sources(df, t)
+    want = {(m, s) for m, s, share, k, budget in targets if has[s] * k < share * budget}
+    assert {tuple(r) for r in found.collect()} == want and 0 < len(want) < len(targets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert str(mixing.GOLDEN) in plan and "xxhash64" in plan  # the schedule and the shuffled repeats
+
+
 def test_sentence_units(spark):
     known = ["Thank you all.", "We met Dr. Paz. She left.", "The price rose.", "So it goes.", "We met again."] * 20
     cases = {

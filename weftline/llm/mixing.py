@@ -50,23 +50,27 @@ def schedule(targets: DataFrame) -> DataFrame:
 
 
 def _plan(docs: DataFrame, targets: DataFrame, block: int, held: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Targets with demand and supply, the slots, and the uses of documents with the slots that take them."""
+    """Targets with demand and supply, the slots, and the uses of documents: those that the source's slots take, by rank, and as many
+    more of the permitted ones as its share of the budget needs."""
     docs = cut(docs.where("tokens > 0 AND doc_id IS NOT NULL").select("doc_id", source_key(F.col("source")).alias("_key"), "tokens"))
     wanted = _targets(targets, block)
     slots = schedule(wanted)
     supply = docs.groupBy("_key").agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("documents"))
     demand = slots.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("slots"))
     wanted = wanted.join(supply, "_key", "left").join(demand, ["mix_name", "source"], "left").na.fill(0, ["available_tokens", "documents", "slots"])
-    repeats = F.least(F.col("max_repeats"), F.ceil(F.col("slots") * F.col("_each") / F.col("available_tokens")))
-    drawn = wanted.where("slots > 0 AND available_tokens > 0 AND max_repeats > 0 AND _each > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), (repeats - 1).cast("int"))))
-    drawn = drawn.select("mix_name", "source", "_key", "_each", "slots", "available_tokens", "documents", "repeat")
+    goal = F.col("target_share") * F.col("budget_tokens")
+    wanted = wanted.withColumn("wanted_tokens", goal)
+    need = F.greatest(F.col("slots") * F.col("_each"), F.col("wanted_tokens"))
+    repeats = F.least(F.col("max_repeats"), F.floor(need / F.col("available_tokens")) + 1)
+    drawn = wanted.where("(slots > 0 OR wanted_tokens > 0) AND available_tokens > 0 AND max_repeats > 0 AND _each > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), (repeats - 1).cast("int"))))
+    drawn = drawn.select("mix_name", "source", "_key", "_each", "slots", "wanted_tokens", "available_tokens", "documents", "repeat")
     uses = docs.join(drawn, "_key")
     # the order of a repeat is that of a hash, whose high bits are the block of the scan
     uses = uses.withColumn("_at", F.xxhash64("doc_id", "repeat", "mix_name").bitwiseAND(2**40 - 1))
     uses = uses.withColumn("_block", F.floor(F.col("_at") * F.ceil(F.col("documents") / held) / 2**40))
     uses = prefix_sum(uses, ["mix_name", "source", "repeat"], "_block", ["_at", "doc_id"], F.col("tokens"), "_before")
     start = F.col("_before") + F.col("repeat") * F.col("available_tokens")
-    uses = uses.withColumn("rank", F.floor(start / F.col("_each"))).where(F.col("rank") < F.col("slots"))
+    uses = uses.withColumn("rank", F.floor(start / F.col("_each"))).where((F.col("rank") < F.col("slots")) | (start < F.col("wanted_tokens")))
     return wanted, slots, uses
 
 
@@ -86,16 +90,18 @@ def shares(docs: DataFrame, targets: DataFrame, block: int = 512, held: int = 50
     """(mix_name, source, target_share, actual_share, tokens, documents_used, most_uses, available_tokens, wanted_tokens, slots,
     empty_slots, short): what every target of the mix got.
 
-    short: the source's tokens, as often as they may be repeated, are less than its share of the budget, exactly.
+    short: what the source's slots take, with the permitted uses that its slots leave over, ends before its share of the budget. The
+    draw goes on to that share where the schedule deals fewer slots, so this holds exactly when the source's tokens, as often as
+    they may be repeated, are less than the share.
     """
     wanted, slots, uses = _plan(docs, targets, block, held)
-    placed = uses.join(slots, ["mix_name", "source", "rank"])
-    each = placed.groupBy("mix_name", "source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"))
-    got = each.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents_used"), F.max("uses").alias("most_uses"))
-    out = wanted.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents_used", "most_uses"])
+    placed = uses.join(slots, ["mix_name", "source", "rank"], "left")
+    inside = F.col("slot").isNotNull()
+    each = placed.groupBy("mix_name", "source", "doc_id").agg(F.sum(F.when(inside, F.col("tokens"))).alias("tokens"), F.count("slot").alias("uses"), F.sum(F.when(~inside, F.col("tokens"))).alias("_over"))
+    got = each.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("uses") > 0).alias("documents_used"), F.max("uses").alias("most_uses"), F.sum("_over").alias("_over"))
+    out = wanted.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents_used", "most_uses", "_over"])
     total = F.sum("tokens").over(W.partitionBy("mix_name"))  # as many rows as targets
     full = F.floor(F.col("available_tokens") * F.col("max_repeats") / F.col("_each"))
-    goal = F.col("target_share") * F.col("budget_tokens")
     return out.select(
         "mix_name",
         "source",
@@ -105,10 +111,10 @@ def shares(docs: DataFrame, targets: DataFrame, block: int = 512, held: int = 50
         "documents_used",
         "most_uses",
         "available_tokens",
-        goal.alias("wanted_tokens"),
+        "wanted_tokens",
         "slots",
         F.greatest(F.col("slots") - F.coalesce(full, F.lit(0)), F.lit(0)).alias("empty_slots"),
-        (F.col("available_tokens") * F.coalesce(F.col("max_repeats"), F.lit(0)) < goal).alias("short"),
+        (F.col("tokens") + F.col("_over") < F.col("wanted_tokens")).alias("short"),
     )
 
 
