@@ -265,3 +265,19 @@ def test_sentence_units(spark):
     long = df.unionByName(spark.createDataFrame([(7, "So it goes. " * 20_000, 1)], df.schema))
     assert sentences.sentences(long).where("doc_id = 7").count() == 20_000
     assert sentences.sentences(df.limit(0)).count() == 0
+
+
+def test_rare_words_count_too(spark, monkeypatch):
+    # among so many words of others the abbreviation is far below one in KEPT of all
+    texts = ["Thank you all.", "So it goes.", "We rose."] * 400 + [f"We met Xzqv. Paz {n} today." for n in "ABCDEFGH"] + ["He met Xzqv. Paz. So it goes."]
+    df = spark.createDataFrame([*enumerate(texts), (1208, texts[1208]), (None, texts[1200])], "doc_id bigint, text string")
+
+    def units():
+        return sorted((r.doc_id or -1, r.start_char, r.end_char) for r in sentences.sentences(df).collect())
+
+    want = units()
+    monkeypatch.setattr(sentences, "KEPT", 20)
+    assert units() == want
+    monkeypatch.setattr(sentences, "KEPT", 1)
+    assert units() == want
+    assert [texts[1208][a:b] for d, a, b in dict.fromkeys(want) if d == 1208] == ["He met Xzqv. Paz.", "So it goes."]

@@ -7,8 +7,8 @@ possible boundaries only, a true closing word at certain ends too. It also measu
 boundary. The second pass gives each document its best division: a span scores by its opening word, its closing word, its
 length, and whether quotations and brackets are closed within it. Nothing is fitted to labels.
 
-Only words that make up at least one in 20 000 of all are kept, at most 20 000 of each kind, so the table that goes to the tasks
-is bounded whatever the documents; rarer words are judged by their shape.
+All counts stay in one table. Words that make up at least one in 20 000 of their kind, of which there can be no more than 20 000, go to
+every task; the counts of the others are joined to the documents that hold them, by a shuffle in which no word can be hot.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 KEPT = 20_000
 _BREAK = re.compile(r"\s*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
 _SIGN = r"(?P<mark>[.!?…。！？؟।॥｡．]+)(?P<shut>(?:[\"'”’“」』）)\]\}】》〉]|\s*»)*)"
@@ -173,11 +175,13 @@ def pieces(text: str) -> Iterator[Piece]:
             yield Piece(text, begin, end)
 
 
-def _counts(text: str, out: Counter) -> None:
-    """Adds (kind, key, sure or not): o and c are opening and closing words, O and C their shapes, q closing words after a quotation,
+def _counts(text: str, out: Counter) -> list[str]:
+    """Adds (kind, key, sure or not) and returns the text's own words, each after its kind: o and c are opening and closing words, O and C their shapes, q closing words after a quotation,
     L the rounded log lengths of units that hold no possible boundary. What a paragraph says n times weighs 1 + log2 n, in
     sixteenths, so that one that says the same thousands of times doesn't outweigh all others."""
+    own = set()
     for p in pieces(text):
+        own.update(("o" + p.first[0], "c" + p.last[0]))
         out["o", p.first[0], 1] += 16
         out["O", p.first[1], 1] += 16
         out["c", p.last[0], 1] += 16
@@ -189,49 +193,77 @@ def _counts(text: str, out: Counter) -> None:
         for kind, held in (("o", p.open), ("c", p.close)):
             for (word, shape), n in Counter(held).items():
                 weight = round(16 * (1 + math.log2(n)))
+                own.add(kind + word)
                 out[kind, word, 0] += weight
                 out[kind.upper(), shape, 0] += weight
         after = [p.close[i + 1][0] if i + 1 < len(p.spots) else p.last[0] for i, (a, _) in enumerate(p.spots) if text[a - 1] in _ENDS]
         for word, n in Counter(after).items():
             out["q", word, 1] += round(16 * (1 + math.log2(n)))
+    return [*own]
+
+
+def _row() -> Column:
+    """What joins a document to its words' counts; only exact copies share one, and should hashes meet, both texts get the words of both."""
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
-def statistics(documents: DataFrame, held: int = 200_000) -> dict:
-    """The counts over all documents, as a bounded table on the driver."""
+def statistics(documents: DataFrame, held: int = 200_000) -> tuple[dict, DataFrame]:
+    """The counts over all documents: those of shapes, lengths and frequent words as a bounded table on the driver, and (row, told) with
+    the counts of a document's other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Counter = Counter()
+        names = ["row", "words", "kind", "key", "sure", "other", "after"]
+        types = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+        def batch(n: int, **columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
         def flush() -> pa.RecordBatch:
             keys = [*out]
-            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([out[k] * k[2] for k in keys], pa.int64()), pa.array([out[k] * (1 - k[2]) for k in keys], pa.int64())], ["kind", "key", "sure", "other"])
+            said = [k[0] == "q" for k in keys]
+            b = batch(
+                len(keys),
+                kind=["c" if q else k[0] for k, q in zip(keys, said)],
+                key=[k[1] for k in keys],
+                sure=[out[k] * (k[2] and not q) for k, q in zip(keys, said)],
+                other=[out[k] * (1 - k[2]) for k in keys],
+                after=[out[k] * q for k, q in zip(keys, said)],
+            )
             out.clear()
             return b
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for b in batches:
+            row, words = [], []
+            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    _counts(text, out)
+                    row.append(at)
+                    words.append(_counts(text, out))
                     if len(out) > held:
                         yield flush()
+            yield batch(len(row), row=row, words=words)
         yield flush()
 
-    each = documents.select("text").mapInArrow(run, "kind string, key string, sure bigint, other bigint").groupBy("kind", "key").agg(F.sum("sure").alias("sure"), F.sum("other").alias("other"))
-    each = each.withColumn("n", F.col("sure") + F.col("other")).persist()
-    totals = {r[0]: r[1] for r in each.groupBy("kind").agg(F.sum("n")).collect()}  # six kinds
-    least = F.lit(0.0)
-    for kind, total in totals.items():
+    schema = "row bigint, words array<string>, kind string, key string, sure bigint, other bigint, after bigint"
+    found = cut(documents.select(_row(), "text").mapInArrow(run, schema))
+    each = found.where("kind IS NOT NULL").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("sure", "other", "after")])
+    each = cut(each.withColumn("n", F.col("sure") + F.col("other")))
+    least = F.lit(0.0)  # there are few shapes and lengths
+    for kind, total in each.where("kind IN ('o', 'c')").groupBy("kind").agg(F.sum("n")).collect():
         least = F.when(F.col("kind") == kind, total / KEPT).otherwise(least)
-    kept = each.where(F.col("n") >= least).drop("n").collect()  # at most KEPT of each kind
-    each.unpersist()
+    frequent = each.where(F.col("n") >= least)
     table: dict = {}
-    for kind, key, sure, other in kept:
-        table.setdefault(kind, {})[key] = (sure / 16, other / 16)
-    return table
+    for kind, key, sure, other, after in frequent.drop("n").collect():  # at most KEPT of each kind of word
+        table.setdefault(kind, {})[key] = (sure / 16, other / 16, after / 16)
+    word = F.concat("kind", "key").alias("word")
+    own = found.where("row IS NOT NULL").select("row", F.explode("words").alias("word"))
+    own = own.join(F.broadcast(frequent.where("kind IN ('o', 'c')").select(word)), "word", "left_anti").dropDuplicates(["row", "word"])
+    told = own.join(each.where(F.col("n") < least).select(word, "sure", "other", "after"), "word")
+    return table, told.groupBy("row").agg(F.collect_list(F.struct("word", "sure", "other", "after")).alias("told"))  # as many as the text has
 
 
 class Model:
-    """Log scores of opening words, closing words and lengths from the counts."""
+    """Log scores of opening words, closing words and lengths from the counts; told: those of the text at hand that table lacks."""
 
     def __init__(self, table: dict) -> None:
         self.rate, self.seen = {}, {}
@@ -239,10 +271,10 @@ class Model:
             held = table.get(shapes, {})
             sure, other = (sum(v[i] for v in held.values()) for i in (0, 1))
             base = (sure + 1) / (sure + other + 2)
-            rates = {k: (s + 2 * base) / (s + o + 2) for k, (s, o) in held.items()}
+            rates = {k: (s + 2 * base) / (s + o + 2) for k, (s, o, _) in held.items()}
             self.rate[words] = (base, rates)
             self.seen[words] = table.get(words, {})
-        self.after = {k: v[0] for k, v in table.get("q", {}).items()}
+        self.told: dict = {}
         self.size = {}
         for dense in (0, 1):
             held = [(int(k.split()[1]) / 4, v[0]) for k, v in table.get("L", {}).items() if k.startswith(f"{dense} ")]
@@ -253,12 +285,15 @@ class Model:
         self.lengths = {d: [self._length(d, n) for n in range(2000)] for d in (False, True)}
         self.known: dict = {}
 
+    def counts(self, kind: str, word: str) -> tuple[float, float, float]:
+        return self.seen[kind].get(word) or self.told.get(kind + word, (0, 0, 0))
+
     def word(self, kind: str, key: tuple[str, str]) -> float:
         score = self.known.get((kind, *key))
         if score is None:
             base, rates = self.rate[kind]
             prior = rates.get(key[1], base)
-            sure, other = self.seen[kind].get(key[0], (0, 0))
+            sure, other, _ = self.counts(kind, key[0])
             score = math.log((sure + SMOOTH * prior) / (sure + other + SMOOTH) / base)
             if len(self.known) < 200_000:
                 self.known[(kind, *key)] = score
@@ -274,10 +309,11 @@ class Model:
 
     def echo(self, last: tuple[str, str]) -> bool:
         """Whether this closing word stands after quotations nearly always, as that of 'he asked' does."""
-        n = sum(self.seen["c"].get(last[0], (0, 0)))
-        return n >= 4 and self.after.get(last[0], 0) > 0.6 * n
+        sure, other, after = self.counts("c", last[0])
+        return sure + other >= 4 and after > 0.6 * (sure + other)
 
-    def divide(self, text: str) -> list[tuple[int, int]]:
+    def divide(self, text: str, told: dict) -> list[tuple[int, int]]:
+        self.told = told
         out: list[tuple[int, int]] = []
         for p in pieces(text):
             out += self._best(text, p) if p.spots else [(p.begin, p.end)]
@@ -343,17 +379,21 @@ class Model:
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char): the units of every document, from the first character that isn't white space to just after the
     last. A null or blank text has none; documents without an id, or in several copies, keep their rows as they are."""
-    model = documents.sparkSession.sparkContext.broadcast(Model(statistics(documents)))
+    table, told = statistics(documents)
+    model = documents.sparkSession.sparkContext.broadcast(Model(table))
+    fields = ("word", "sure", "other", "after")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             row, start, end = [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for s, e in m.divide(text) if text else ():
+            for i, (text, *lists) in enumerate(zip(b.column("text").to_pylist(), *(b.column(c).to_pylist() for c in fields))):
+                rare = {w: (x / 16, y / 16, z / 16) for w, x, y, z in zip(*lists)} if lists[0] else {}
+                for s, e in m.divide(text, rare) if text else ():
                     row.append(i)
                     start.append(s)
                     end.append(e)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start_char", "end_char"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_char int, end_char int")
+    texts = documents.select(_row(), "doc_id", "text").join(told, "row", "left")
+    return texts.select("doc_id", "text", *[F.col("told")[c].alias(c) for c in fields]).mapInArrow(run, "doc_id bigint, start_char int, end_char int")
