@@ -102,6 +102,27 @@ def test_languages_of_rows(spark):
     assert languages.unnamed_languages(spoken.limit(0), talks.limit(0), samples).count() == 0
 
 
+def test_talks_have_their_parts_and_all_their_languages(spark, tmp_path):
+    from weftline.llm import queries as llm
+    from weftline.session import table
+
+    lines = ["Thank you all for coming. \U0001f600 We begin now with the first talk."] * 29 + ["", "  Vielen Dank an alle für das Kommen.", "mmm"]
+    text = "\n".join(lines)
+    u = [("t", 5, "Thank you all for coming.", "en")]
+    spark.createDataFrame(u, "talk_id string, source_line int, text string, lang string").write.parquet(f"{tmp_path}/utterances.parquet")
+    talks = [("t", text, ["en"]), ("t", text, ["en"]), ("v", None, None), ("w", "Thank you all for coming.", None)]
+    spark.createDataFrame(talks, "talk_id string, text string, languages array<string>").write.parquet(f"{tmp_path}/talks.parquet")
+    table(spark, "/root/testdata/sf0.001", "language_samples").write.parquet(f"{tmp_path}/language_samples.parquet")
+    got = llm.p3_parts(spark, str(tmp_path)).collect()
+    mine = {(text[r.start_char : r.end_char].strip(), r.lang) for r in got if r.talk_id == "t" and not r.source_line}
+    assert ("Vielen Dank an alle für das Kommen.", "de") in mine and {("Thank you all for coming.", "en")} < mine and len(mine) == 3
+    assert sum(r.talk_id == "t" and not r.source_line for r in got) == 59
+    assert [(r.start_char, r.end_char, r.lang) for r in got if r.talk_id == "w" or r.source_line] == [(0, 25, "en")] * 2
+    rows = {(r.talk_id, r.source_line, r.lang) for r in llm.p3_languages(spark, str(tmp_path)).collect()}
+    assert rows == {("t", 5, "en"), ("t", 0, "en"), ("t", 0, "de"), ("w", 0, "en")}
+    assert llm.p3_found(spark, str(tmp_path)).where("lang = 'de'").count() == 0  # a 32nd of the lines
+
+
 def test_held_out_samples_are_recognised(spark):
     from weftline.session import table
 

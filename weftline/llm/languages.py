@@ -232,11 +232,30 @@ def _judged(p: Profiles, texts: list[str | None], told: list[list[str]]) -> Iter
         yield i, start[j], end[j], p.codes[b], float(sure[j])
 
 
-def label_parts(rows: DataFrame, samples: DataFrame, labelled: DataFrame, size: int = 4000) -> DataFrame:
-    """(talk_id, source_line, start_char, end_char, lang, confidence): every part of rows.text that holds words besides sounds, names that
-    head it and hesitations; rows: (talk_id, source_line, text, lang). Repeated rows count once, null and wordless texts have no row."""
-    spark = rows.sparkSession
-    p = profiles(samples, labelled)
+def _talk_lines(talks: DataFrame) -> DataFrame:
+    """(talk_id, source_line 0, at, text, lang): the lines of the talks' texts with their offsets; a task splits, others judge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for talk, text, lang in zip(*(b.column(c).to_pylist() for c in ("talk_id", "text", "lang"))):
+                lines, at, now = text.split("\n"), [], 0
+                for x in lines:
+                    at.append(now)
+                    now += len(x) + 1
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([talk] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(lines, pa.string()), pa.array([lang] * n, pa.string())], ["talk_id", "source_line", "at", "text", "lang"])
+
+    texts = talks.where("text IS NOT NULL").select("talk_id", "text", F.array_join("languages", ";").alias("lang"))
+    lines = texts.mapInArrow(run, "talk_id string, source_line int, at int, text string, lang string")
+    return lines.where("trim(text) != ''").repartition("talk_id", "at")
+
+
+def label_parts(utterances: DataFrame, talks: DataFrame, samples: DataFrame, size: int = 4000) -> DataFrame:
+    """(talk_id, source_line, start_char, end_char, lang, confidence): every part of an utterance's text and, with source_line 0, of a
+    talk's text that holds words besides sounds, names that head a line and hesitations. Repeated rows count once, null and wordless
+    texts have no row."""
+    spark = utterances.sparkSession
+    p = profiles(samples, utterances)
     model, table = spark.sparkContext.broadcast(p), names(spark, p.codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,17 +264,19 @@ def label_parts(rows: DataFrame, samples: DataFrame, labelled: DataFrame, size:
             for off in range(0, len(whole), size):
                 b = whole.slice(off, size)
                 told = [seen[x] if x in seen else seen.setdefault(x, parse(x, table)) for x in b.column("lang").to_pylist()]
-                out = [*zip(*_judged(model.value, b.column("text").to_pylist(), told))] or [[]] * 5
+                at = b.column("at").to_pylist()
+                out = [*zip(*((i, at[i] + s, at[i] + e, code, sure) for i, s, e, code, sure in _judged(model.value, b.column("text").to_pylist(), told)))] or [[]] * 5
                 take = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("talk_id").take(take), b.column("source_line").take(take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64())], ["talk_id", "source_line", "start_char", "end_char", "lang", "confidence"])
 
     schema = "talk_id string, source_line int, start_char int, end_char int, lang string, confidence double"
-    return rows.select("talk_id", "source_line", "text", "lang").mapInArrow(run, schema).distinct()
+    spoken = utterances.select("talk_id", "source_line", F.lit(0).alias("at"), "text", "lang")
+    return spoken.unionByName(_talk_lines(talks)).mapInArrow(run, schema).distinct()
 
 
-def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1, size: int = 4000) -> DataFrame:
+def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.0, size: int = 4000) -> DataFrame:
     """(talk_id, source_line, lang, confidence, named): every language an utterance is in, with its best confidence and whether the
-    utterance's lang names it; with source_line 0 every language of at least that share of the lines of a talk's text.
+    utterance's lang names it; with source_line 0 every language of a talk's text, if at least that share of its lines is in it.
 
     Lines go to tasks by talk and text: the line of a talk's text and the utterance it comes from meet in one task and are judged
     once, and neither a long talk nor a frequent line burdens one task.
@@ -307,6 +328,7 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
     return kept.select("talk_id", "source_line", "lang", "confidence", "named")
 
 
-def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame) -> DataFrame:
-    """(talk_id, source_line, lang): the languages of utterances and, with source_line 0, of talks, that their labels don't name."""
-    return row_languages(utterances, talks, samples).where("NOT named").select("talk_id", "source_line", "lang")
+def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1) -> DataFrame:
+    """(talk_id, source_line, lang): the languages of utterances and, with source_line 0, those of at least that share of the lines of
+    talks, that their labels don't name."""
+    return row_languages(utterances, talks, samples, share).where("NOT named").select("talk_id", "source_line", "lang")

@@ -47,8 +47,7 @@ def p3_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_parts(spark: SparkSession, sf: str) -> DataFrame:
-    spoken = table(spark, sf, "utterances")
-    return languages.label_parts(spoken, table(spark, sf, "language_samples"), spoken)
+    return languages.label_parts(table(spark, sf, "utterances"), table(spark, sf, "talks"), table(spark, sf, "language_samples"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
