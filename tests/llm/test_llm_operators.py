@@ -302,3 +302,51 @@ def test_rare_words_count_too(spark, monkeypatch):
     monkeypatch.setattr(sentences, "KEPT", 1)
     assert units() == want
     assert [texts[1208][a:b] for d, a, b in dict.fromkeys(want) if d == 1208] == ["He met Xzqv. Paz.", "So it goes."]
+
+
+def test_units_span_any_number_of_possible_boundaries():
+    m = sentences.Model({"c": {"Xz.": (0, 200, 0)}})
+    for n in (10, 60, 500):
+        text = "We met " + "Xz. Paz " * n + "today. So it goes."
+        assert [text[a:b] for a, b in m.divide(text, {})] == [text[: text.index(" So it")], "So it goes."], n
+    # the best division by trying all
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["So it goes. ", "Xz. ", "“", "” ", "(", ") ", "He asked. ", "one! ", "A long way to go " * rng.choice([1, 40, 130]) + ". "]) for _ in range(rng.randrange(2, 14))) + "We rose."
+        for p in sentences.pieces(text):
+            if p.spots:
+                assert score(m, text, p, m._best(text, p)) == pytest.approx(best_score(m, text, p))
+
+
+def possible(m, p):
+    gains = {}
+    for i, (a, b) in enumerate(p.spots):
+        shape = p.open[i][1]
+        g = sentences.PLAIN.get(p.kind[i], 1.6) + (sentences.LOWER if shape.startswith("lower") else m.word("o", p.open[i])) + m.word("c", p.close[i]) + (sentences.GLUED if p.glued[i] else 0)
+        if g > -3:
+            gains[a, b] = g
+    return gains
+
+
+def span(m, text, p, a, b):
+    s, k = 0.0, b - a
+    s += m.lengths[p.dense][k] if k < len(m.lengths[p.dense]) else -3.0
+    signs = sentences._SIGNS.findall(text, a, b)
+    s += sentences.OPEN_PAIR * (sum(c in sentences._QUOTE for c in signs) % 2)
+    s += sentences.OPEN_PAIR * (sum((c in sentences._OPEN) - (c in sentences._SHUT) for c in signs) != 0)
+    return s + (sentences.HOLLOW if k < 8 and not sentences._WORD.search(text, a, b) else 0)
+
+
+def score(m, text, p, units):
+    gains = possible(m, p)
+    return sum(span(m, text, p, a, b) for a, b in units) + sum(gains[x[1], y[0]] for x, y in zip(units, units[1:]))
+
+
+def best_score(m, text, p):
+    gains = possible(m, p)
+    spots = [*gains]
+    starts, ends = [p.begin, *(b for _, b in spots)], [*(a for a, _ in spots), p.end]
+    top = [0.0]
+    for j, end in enumerate(ends):
+        top.append(max((top[i] + (gains[spots[i - 1]] if i else 0) + span(m, text, p, starts[i], end)) for i in range(j + 1)))
+    return top[-1]

@@ -41,7 +41,7 @@ _SIGNS = re.compile(r"[\"“”„«»「」『』(（\[【{)）\]】}]")
 _ENDS = set("\"”’“」』»'")
 #: Weights of the model. PLAIN is what a further boundary is worth by its mark.
 PLAIN = {".": 1.6, "!": 3.0, "?": 3.0, "…": 2.2, "。": 4.0, "！": 3.5, "？": 3.5, "؟": 3.0, "।": 4.0, "॥": 4.0, " ": 1.2}
-LOWER, OPEN_PAIR, GLUED, HOLLOW, ECHO, SMOOTH, MOST_SPAN = -7.0, -4.5, -0.5, -8.0, -5.0, 4.0, 40
+LOWER, OPEN_PAIR, GLUED, HOLLOW, ECHO, SMOOTH, FARTHEST = -7.0, -4.5, -0.5, -8.0, -5.0, 4.0, -3.0
 
 
 def _thai(c: str) -> bool:
@@ -305,7 +305,7 @@ class Model:
 
     def _length(self, dense: bool, n: int) -> float:
         mean, var = self.size[dense]
-        return max(-3.0, -0.25 * (math.log(max(n, 1)) - mean) ** 2 / var)
+        return max(FARTHEST, -0.25 * (math.log(max(n, 1)) - mean) ** 2 / var)
 
     def echo(self, last: tuple[str, str]) -> bool:
         """Whether this closing word stands after quotations nearly always, as that of 'he asked' does."""
@@ -348,12 +348,24 @@ class Model:
         best[0] = 0.0
         size, most = self.lengths[p.dense], len(self.lengths[p.dense])
         base = [0.0] * (n + 1)  # the best score up to a start, with what its boundary gains
+        peak = [0.0] * (n + 1)  # the highest base up to a start; no length scores above 0
+        # starts so far back that length says no more: the highest base, by whether quoted and whether a quotation is open, then by depth
+        far: dict = {}
+        near = 0
         for j in range(n):
             end, (q, d), echo = ends[j], marks[ends[j]], self.echo(last[j])
             top, arg = -math.inf, 0
-            for i in range(j, max(-1, j - MOST_SPAN), -1):
+            while near < j and end - starts[near] >= most:
+                before, deep = after[near]
+                for key in ((quoted[near], before & 1), (quoted[near], before & 1, deep)):
+                    if key not in far or base[near] >= far[key][0]:
+                        far[key] = base[near], near
+                near += 1
+            for i in range(j, near - 1, -1):
+                if peak[i] <= top:
+                    break
                 k = end - starts[i]
-                s = base[i] + (size[k] if k < most else -3.0)
+                s = base[i] + (size[k] if k < most else FARTHEST)
                 before, deep = after[i]
                 if (q - before) & 1:
                     s += OPEN_PAIR
@@ -365,9 +377,18 @@ class Model:
                     s += HOLLOW
                 if s > top:
                     top, arg = s, i
+            if near and peak[near - 1] + FARTHEST > top:
+                for closed in (False, True):
+                    for odd in (0, 1):
+                        for key, s in (((closed, odd), OPEN_PAIR), ((closed, odd, d), 0.0)):
+                            if key in far:
+                                s += far[key][0] + FARTHEST + (OPEN_PAIR if (q - odd) & 1 else 0.0) + (ECHO if echo and closed else 0.0)
+                                if s > top:
+                                    top, arg = s, far[key][1]
             best[j + 1], back[j + 1] = top, arg
             if j + 1 < n:
                 base[j + 1] = top + gain[j]
+                peak[j + 1] = max(peak[j], base[j + 1])
         out, j = [], n
         while j:
             i = back[j]
