@@ -350,3 +350,17 @@ def best_score(m, text, p):
     for j, end in enumerate(ends):
         top.append(max((top[i] + (gains[spots[i - 1]] if i else 0) + span(m, text, p, starts[i], end)) for i in range(j + 1)))
     return top[-1]
+
+
+def test_the_labelled_sample_is_drawn_in_parts(spark, monkeypatch):
+    rows = [("t", i, "EN" if i % 3 else "de", f"We met {i} times in a row.") for i in range(3000)]
+    df = spark.createDataFrame(rows, "talk_id string, source_line int, lang string, text string")
+    samples = spark.createDataFrame([("en", "We met."), ("de", "Wir trafen uns.")], "lang string, text string")
+    drawn, windows, by = {}, [], languages.W.partitionBy
+    monkeypatch.setattr(languages.W, "partitionBy", lambda *c: windows.append(c) or by(*c))
+    monkeypatch.setattr(languages, "parts", lambda text: [(0, len(text), text)])
+    monkeypatch.setattr(languages, "Profiles", lambda own, more: drawn.update(more))
+    languages.profiles(samples, df, most=70)
+    keyed = df.withColumn("h", F.xxhash64("talk_id", "source_line")).orderBy("h").collect()
+    assert {k: sorted(v) for k, v in drawn.items()} == {k: sorted([r.text for r in keyed if r.lang.lower() == k][:70]) for k in ("en", "de")}
+    assert windows[0] == ("lang", "_part")

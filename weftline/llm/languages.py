@@ -201,6 +201,8 @@ def profiles(samples: DataFrame, labelled: DataFrame, most: int = 2500) -> Profi
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()
     codes = sorted({r[0] for r in rows})
     own = labelled.select(F.lower("lang").alias("lang"), "text", F.xxhash64("talk_id", "source_line").alias("_h")).where(F.col("lang").isin(codes) & F.col("text").isNotNull())
+    # first the least of each of 64 parts of a language, among which the least of all are, so that no task sorts a whole language
+    own = own.withColumn("_part", F.pmod(F.col("_h"), F.lit(64))).withColumn("_r", F.row_number().over(W.partitionBy("lang", "_part").orderBy("_h", "text"))).where(F.col("_r") <= most)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "text"))
     more: dict[str, list[str]] = {}
     for lang, text in own.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", "text").collect():  # the bounded sample
