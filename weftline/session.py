@@ -50,24 +50,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, on a local master only, a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder once, so that later plans read it and a lost executor costs no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write a table to the shared folder, which later plans read, only the columns that they need, and a lost executor
+    costs no rerun."""
+    path = new_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses, with its scheme, so that tasks reach it without Spark too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/+", "file:///", full)
+    """A path in the shared folder that nothing else uses, with its scheme, so that tasks reach it without Spark too. All of an application's
+    paths stand in one folder, which is deleted when the driver ends."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/weftline-{spark.sparkContext.applicationId}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = files.makeQualified(root)
+    if files.mkdirs(root):
+        files.deleteOnExit(root)
+    return re.sub("^file:/+", "file:///", f"{root.toString()}/{what}-{uuid.uuid4().hex}")
