@@ -48,7 +48,7 @@ def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _round(items: DataFrame, level: int) -> DataFrame:
+def _round(items: DataFrame, level: int, tasks: int) -> DataFrame:
     """items (container_name, capacity, shard, item, size) -> the same with box, a name unique over shards and rounds."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -57,16 +57,17 @@ def _round(items: DataFrame, level: int) -> DataFrame:
         boxes = place(group.column("size").to_numpy(), capacity)
         return group.select(["container_name", "capacity", "item", "size"]).append_column("box", pa.array([f"{level}-{shard}-{b}" for b in boxes]))
 
-    return items.groupBy("container_name", "shard").applyInArrow(run, "container_name string, capacity int, item string, size int, box string")
+    # a shard is much work for few bytes, so partitions aren't merged by size
+    return items.repartition(tasks, "container_name", "shard").groupBy("container_name", "shard").applyInArrow(run, "container_name string, capacity int, item string, size int, box string")
 
 
-def _sharded(items: DataFrame, held: int) -> tuple[DataFrame, int]:
-    """A shard number for every item, so that shards hold about held items; the most shards of any container kind."""
+def _sharded(items: DataFrame, held: int) -> tuple[DataFrame, int, int]:
+    """A shard number for every item, so that shards hold about held items; the most shards of any container kind, and tasks for all."""
     counts = {r[0]: -(-r[1] // held) for r in items.groupBy("container_name").count().collect()}  # a row per kind of container
     shards = F.lit(1)
     for name, n in counts.items():
         shards = F.when(F.col("container_name") == name, n).otherwise(shards)
-    return items.withColumn("shard", F.pmod(F.xxhash64("item", "container_name"), shards).cast("int")), max(counts.values(), default=0)
+    return items.withColumn("shard", F.pmod(F.xxhash64("item", "container_name"), shards).cast("int")), max(counts.values(), default=0), min(max(sum(counts.values()), 1), 10_000)
 
 
 def pack(docs: DataFrame, containers: DataFrame, held: int = 20_000) -> DataFrame:
@@ -84,24 +85,25 @@ def pack(docs: DataFrame, containers: DataFrame, held: int = 20_000) -> DataFram
     cuts = cuts.withColumn("first_token", (F.col("part") - 1) * F.col("capacity_tokens")).withColumn("size", F.least(F.col("tokens") - F.col("first_token"), F.col("capacity_tokens")).cast("int"))
     cuts = cuts.withColumn("item", F.concat_ws("/", "doc_id", "part"))
     items = cuts.where("size < capacity_tokens").select("container_name", F.col("capacity_tokens").alias("capacity"), "item", "size")
-    sharded, shards = _sharded(items, held)
-    now = cut(_round(sharded, 0))
+    sharded, shards, tasks = _sharded(items, held)
+    now = cut(_round(sharded, 0, tasks))
     where = now.select("container_name", "item", "box")
     level = 0
     while shards > 1:
         # boxes with room left are the next round's items
         left = now.groupBy("container_name", "capacity", "box").agg(F.sum("size").cast("int").alias("size")).where("size < capacity").withColumnRenamed("box", "item")
         before = shards
-        sharded, shards = _sharded(left, held)
+        sharded, shards, tasks = _sharded(left, held)
         level += 1
-        now = cut(_round(sharded, level))
+        now = cut(_round(sharded, level, tasks))
         moved = now.select("container_name", F.col("item").alias("box"), F.col("box").alias("_to"))
         where = where.join(moved, ["container_name", "box"], "left").select("container_name", "item", F.coalesce("_to", "box").alias("box"))
         if shards >= before:
             break
-    placed = cuts.join(where, ["container_name", "item"], "left")  # a part that fills a container has it for itself
-    placed = placed.select("container_name", "capacity_tokens", F.coalesce("box", F.concat(F.lit("full-"), "item")).alias("container"), "doc_id", "part", "first_token", F.col("size").alias("tokens"))
-    return placed.unionByName(empty)
+    columns = ["container_name", "capacity_tokens", F.col("box").alias("container"), "doc_id", "part", "first_token", F.col("size").alias("tokens")]
+    placed = cuts.where("size < capacity_tokens").join(where, ["container_name", "item"]).select(*columns)
+    full = cuts.where("size = capacity_tokens").withColumn("box", F.concat(F.lit("full-"), "item")).select(*columns)  # has a container for itself
+    return placed.unionByName(full).unionByName(empty)
 
 
 def counted_documents(documents: DataFrame) -> DataFrame:
@@ -111,9 +113,10 @@ def counted_documents(documents: DataFrame) -> DataFrame:
 
 
 def cut_documents(documents: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container_name, doc_id) of the documents that packing had to cut: those with more tokens than the capacity."""
-    placed = pack(counted_documents(documents), containers)
-    return placed.where("part > 1").select("container_name", "doc_id").distinct()
+    """(container_name, doc_id) of the documents that stand in more than one of the containers that were packed."""
+    placed = pack(counted_documents(documents), containers).where("container IS NOT NULL")
+    each = placed.groupBy("container_name", "doc_id").agg(F.min("container").alias("_one"), F.max("container").alias("_other"))
+    return each.where("_one != _other").select("container_name", "doc_id")
 
 
 def fill_report(placed: DataFrame) -> DataFrame:
