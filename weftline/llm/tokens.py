@@ -3,8 +3,8 @@
 The distinct pieces of all texts are sorted into partitions, each of which is walked as a prefix trie: the states of the
 tokenizer at every prefix of the last piece stand on a stack, a piece takes over those of the prefix it shares and steps
 on from there. The states are exact, so the count at a piece's end is the tokenizer's own. The counts are then joined to
-the documents' pieces. Pieces that make up at least one in 2000 of all pieces, of which there can be no more than 2000, are
-joined by broadcast and so cost no shuffle; the others by a shuffle in which no piece can be hot.
+the documents' pieces, of which a table has each once per document. Pieces that make up at least one in 2000 of its rows, of which
+there can be no more than 2000, are joined by broadcast and so cost no shuffle; the others by a shuffle in which no piece can be hot.
 """
 
 from __future__ import annotations
@@ -58,13 +58,13 @@ class ByteBpe:
     PIECE = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        with open(path, "rb") as f:  # on the driver; tasks get the lines by broadcast
+            self.lines = f.read().splitlines()
 
     def open(self) -> None:
         import tiktoken
 
-        with open(self.path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.lines)}
         self.bytes = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.bpe = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=self.ranks, special_tokens={})
@@ -114,28 +114,32 @@ def count_tokens(df: DataFrame, key: str, text: Column, tokenizer: Lexical | Byt
     # the empty piece stands for the row itself, so that texts without tokens stay
     found = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(tokenizer.PIECE), F.lit(0)))
     pieces = df.select(F.col(key), F.explode(found).alias("_piece"))
+    each = cut(pieces.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_times")))
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer.open()
-        states, before = [tokenizer.start], [tokenizer.form("")]
+        own = shared.value
+        own.open()
+        states, before = [own.start], [own.form("")]
         for b in batches:
-            counts = list(walk(b.column(0).to_pylist(), tokenizer, states, before))
+            counts = list(walk(b.column(0).to_pylist(), own, states, before))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["_piece", "_rows", "_tokens"])
 
-    tries = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows")).repartitionByRange("_piece").sortWithinPartitions("_piece")
+    tries = each.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows")).repartitionByRange("_piece").sortWithinPartitions("_piece")
     terminal = cut(tries.mapInArrow(run, "_piece string, _rows bigint, _tokens bigint"))
     total = terminal.agg(F.sum("_rows")).first()[0] or 0
     hot = F.broadcast(terminal.where(F.col("_rows") * HOT >= total).select("_piece", "_tokens"))
     cold = terminal.where(F.col("_rows") * HOT < total).select("_piece", "_tokens")
-    both = pieces.join(hot, "_piece").unionByName(pieces.join(hot, "_piece", "left_anti").join(cold, "_piece"))
-    return both.groupBy(key).agg(F.sum("_tokens").alias("tokens"))
+    both = each.join(hot, "_piece").unionByName(each.join(hot, "_piece", "left_anti").join(cold, "_piece"))
+    return both.groupBy(key).agg(F.sum(F.col("_times") * F.col("_tokens")).alias("tokens"))
 
 
 def counted_chunks(chunks: DataFrame, tokenizer: Lexical | ByteBpe | None = None) -> DataFrame:
     """Each chunk once with the tokens of its text beside the recorded count."""
-    rows = once(chunks.select("chunk_id", "event_id", "talk_id", "text", "token_count", "ingested_at"), "chunk_id", arrival="ingested_at")
-    rows = rows.where(F.col("chunk_id").isNotNull())
-    return rows.drop("text").join(count_tokens(rows, "chunk_id", F.col("text"), tokenizer or Lexical()), "chunk_id")
+    named = chunks.select("chunk_id", "event_id", "talk_id", "text", "token_count").where(F.col("chunk_id").isNotNull())
+    rows = named.dropDuplicates(["chunk_id"])  # and so stands by chunk, which the counting needs
+    about = named.drop("text").dropDuplicates(["chunk_id"])
+    return about.join(count_tokens(rows, "chunk_id", F.col("text"), tokenizer or Lexical()), "chunk_id")
 
 
 def wrong_counts(chunks: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def budget(chunks: DataFrame, talks: DataFrame, languages: list[str], subword: B
     """
     counted = counted_chunks(chunks)
     if subword:
-        rows = once(chunks.select("chunk_id", "text"), "chunk_id").where(F.col("chunk_id").isNotNull())
+        rows = chunks.select("chunk_id", "text").where(F.col("chunk_id").isNotNull()).dropDuplicates(["chunk_id"])
         counted = counted.join(count_tokens(rows, "chunk_id", F.col("text"), subword).withColumnRenamed("tokens", "subword_tokens"), "chunk_id")
     else:
         counted = counted.withColumn("subword_tokens", F.lit(None).cast("bigint"))
