@@ -8,6 +8,8 @@ may itself spill.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -15,10 +17,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import new_path
+from weftline.session import cut, new_path
 
 from .common import once
 
@@ -53,58 +55,55 @@ def partial_counts(docs: DataFrame, text: str, held: int = 500_000) -> DataFrame
     return docs.select(text).mapInArrow(run, PARTIAL)
 
 
-def spill(partial: DataFrame, bits: int, limit: int) -> dict[str, int]:
+def spill(partial: DataFrame, bits: int, limit: int) -> DataFrame:
     """Write partial counts into hash partitions of at most limit rows each, as far as terms' hashes differ.
 
-    Returns the partitions' folders with their rows.
+    Returns (path, rows) of the partitions' folders. Rebalancing lets a partition have as many writers as its size asks for.
     """
-    spark, leaves, level = partial.sparkSession, {}, 0
+    spark, level, leaves = partial.sparkSession, 0, None
     todo = partial.withColumn("_hash", F.xxhash64("term"))
-    while level + bits <= 64:
+    while True:
         root = new_path(spark, f"radix{level}")
         part = F.shiftrightunsigned("_hash", 64 - level - bits)
         part = part if level == 0 else F.concat_ws("-", "_part", part.bitwiseAND(2**bits - 1).cast("string"))
-        # rows per partition are known only after the split: the shuffle spreads each over tasks by its partition alone
-        todo.withColumn("_part", part.cast("string")).repartition("_part").write.partitionBy("_part").parquet(root)
+        todo.withColumn("_part", part.cast("string")).hint("rebalance", "_part").write.partitionBy("_part").parquet(root)
         written = spark.read.schema(f"{PARTIAL}, _hash bigint, _part string").parquet(root)
-        sizes = {r[0]: r[1] for r in written.groupBy("_part").count().collect()}  # one row per partition
-        large = [p for p, n in sizes.items() if n > limit and level + 2 * bits <= 64]
-        leaves |= {f"{root}/_part={p}": n for p, n in sizes.items() if p not in large}
-        if not large:
-            break
-        todo, level = written.where(F.col("_part").isin(large)), level + bits
-    return leaves
-
-
-def aggregate(spark: SparkSession, leaves: dict[str, int], limit: int, memory: str = "256MB") -> DataFrame:
+        sizes = cut(written.groupBy("_part").agg(F.count(F.lit(1)).alias("rows")))
+        level += bits
+        small = F.lit(True) if level + bits > 64 else F.col("rows") <= limit
+        own = sizes.where(small).select(F.concat(F.lit(f"{root}/_part="), "_part").alias("path"), "rows")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        large = sizes.where(~small).select("_part")
+        if large.isEmpty():
+            return leaves
+        todo = written.join(large, "_part")
+
+
+def aggregate(leaves: DataFrame, limit: int, memory: str = "256MB") -> DataFrame:
     """Sum leaf by leaf, out of core in DuckDB. A task takes one leaf, or more where they are small."""
-    paths = spark.createDataFrame([*enumerate(leaves)], "leaf int, path string")
-    tasks = min(len(leaves), max(spark.sparkContext.defaultParallelism, 2 * sum(leaves.values()) // limit))
-    paths = paths.repartitionByRange(tasks, "leaf").select("path")
+    n, rows = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    tasks = max(1, min(n, max(leaves.sparkSession.sparkContext.defaultParallelism, 2 * rows // limit)))
+    paths = leaves.select("path").repartitionByRange(tasks, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                files, place = pyarrow.fs.FileSystem.from_uri(path)
-                partial = pyarrow.dataset.dataset(place, filesystem=files, format="parquet")
-                config = {"memory_limit": memory, "threads": 1}
-                if isinstance(files, pyarrow.fs.LocalFileSystem):
-                    config["temp_directory"] = f"{place}-spill"
-                with duckdb.connect(config=config) as c:
-                    c.register("partial", partial)
-                    yield from c.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM partial GROUP BY term").to_arrow_reader(100_000)
+        # beside Spark's own spill files of this executor
+        with tempfile.TemporaryDirectory(prefix="radix-", dir=os.environ["SPARK_LOCAL_DIRS"].split(",")[0]) as scratch:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    files, place = pyarrow.fs.FileSystem.from_uri(path)
+                    partial = pyarrow.dataset.dataset(place, filesystem=files, format="parquet")
+                    with duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": scratch}) as c:
+                        c.register("partial", partial)
+                        yield from c.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM partial GROUP BY term").to_arrow_reader(100_000)
 
     return paths.mapInArrow(run, PARTIAL)
 
 
 def term_frequencies(docs: DataFrame, text: str, bits: int = 5, limit: int = 1_000_000) -> DataFrame:
     """(term, occurrences, records) over all rows of docs. Null texts have no terms; no terms give no rows."""
-    leaves = spill(partial_counts(docs, text), bits, limit)
-    if not leaves:
-        return docs.sparkSession.createDataFrame([], PARTIAL)
-    return aggregate(docs.sparkSession, leaves, limit)
+    return aggregate(spill(partial_counts(docs, text), bits, limit), limit)
 
 
 def marked_terms(chunks: DataFrame, rare: int = 2, common: float = 0.25, **how: int) -> DataFrame:

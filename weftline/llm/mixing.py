@@ -18,6 +18,8 @@ from weftline.session import cut
 
 GOLDEN = 0.6180339887498949
 CHUNK = 100_000
+#: How many targets times repeats are sent to every task; beyond, they are joined by a shuffle.
+MOST_DRAWN = 20_000
 
 
 def source_key(source: Column) -> Column:
@@ -64,7 +66,8 @@ def _plan(docs: DataFrame, targets: DataFrame, block: int, held: int) -> tuple[D
     repeats = F.least(F.col("max_repeats"), F.floor(need / F.col("available_tokens")) + 1)
     drawn = wanted.where("(slots > 0 OR wanted_tokens > 0) AND available_tokens > 0 AND max_repeats > 0 AND _each > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), (repeats - 1).cast("int"))))
     drawn = drawn.select("mix_name", "source", "_key", "_each", "slots", "wanted_tokens", "available_tokens", "documents", "repeat")
-    uses = docs.join(drawn, "_key")
+    drawn = cut(drawn)  # a row per target and repeat: small unless targets are many
+    uses = docs.join(F.broadcast(drawn) if drawn.count() <= MOST_DRAWN else drawn, "_key")
     # the order of a repeat is that of a hash, whose high bits are the block of the scan
     uses = uses.withColumn("_at", F.xxhash64("doc_id", "repeat", "mix_name").bitwiseAND(2**40 - 1))
     uses = uses.withColumn("_block", F.floor(F.col("_at") * F.ceil(F.col("documents") / held) / 2**40))
