@@ -364,3 +364,35 @@ def test_the_labelled_sample_is_drawn_in_parts(spark, monkeypatch):
     keyed = df.withColumn("h", F.xxhash64("talk_id", "source_line")).orderBy("h").collect()
     assert {k: sorted(v) for k, v in drawn.items()} == {k: sorted([r.text for r in keyed if r.lang.lower() == k][:70]) for k in ("en", "de")}
     assert windows[0] == ("lang", "_part")
+
+
+def _nearest(x: np.ndarray, k: int) -> list[set]:
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    np.fill_diagonal(near, -2)
+    return [{int(j) for j in np.argsort(-row, kind="stable")[:k]} for row in near]
+
+
+def test_large_leaves_are_split_by_trees_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((150, 16))[rng.integers(0, 150, 3000)] + 0.25 * rng.standard_normal((3000, 16))).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_index bigint, embedding array<float>")
+    # 8 leaves of 375 vectors fit the first sample; only a few of the leaves below are visited
+    got: dict = {}
+    for r in neighbors.neighbors(df, 5, trees=6, visits=24, leaf=16, sample=64, block=40).collect():
+        got.setdefault(r.row_index, set()).add(r.neighbor)
+    want = _nearest(x, 5)
+    assert np.mean([len(got.get(i, set()) & w) / 5 for i, w in enumerate(want)]) > 0.9
+    some = neighbors.neighbors(df, 5, only=F.col("row_index") % 50 == 0, trees=6, visits=40, leaf=16, sample=64, block=40).collect()
+    assert {r.row_index for r in some} == {*range(0, 3000, 50)}
+    assert np.mean([r.neighbor in want[r.row_index] for r in some]) > 0.9
+
+
+def test_leaves_that_no_plane_splits_are_searched_whole(spark):
+    # one direction but for the least bit of a number: no median parts them
+    x = np.ones((300, 4), np.float32)
+    x[:, 3] = 1 + np.arange(300) * 2e-7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_index bigint, embedding array<float>")
+    got = neighbors.neighbors(df, 3, trees=2, visits=4, leaf=4, sample=40, block=16).groupBy("row_index").count().collect()
+    assert len(got) == 300 and all(r["count"] == 3 for r in got)

@@ -147,9 +147,10 @@ class Profiles:
             for at, r in ranks[h].items():
                 self.rank[i, at] = r
         self.slot = np.full(2**self.BITS, -1, np.int32)
-        # of n-grams that share a slot the most frequent one holds it
-        where = (self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self.slot[where[::-1]] = np.arange(len(self.hash), dtype=np.int32)[::-1]
+        # n-grams that share a slot form a chain
+        self.chain = np.full(len(self.hash), -1, np.int32)
+        for i, at in reversed([*enumerate((self.hash >> np.uint64(64 - self.BITS)).tolist())]):
+            self.chain[i], self.slot[at] = self.slot[at], i
 
     @staticmethod
     def _counts(letters: list[str]) -> Counter:
@@ -158,29 +159,35 @@ class Profiles:
             out.update(h.tolist())
         return out
 
-    def judge(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each part its language's number, -1 if no profile shares an n-gram, the confidence, and all distances per n-gram."""
+    def judge(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each part its language's number, -1 if no profile shares an n-gram, and all distances per n-gram."""
         n, k = len(letters), len(self.codes)
         found, owners = [], []
         for h, owner in _hashes(*_words(letters)) if n else ():
             at = self.slot[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
-            hit = at >= 0
-            at, h, owner = at[hit], h[hit], owner[hit]
-            same = self.hash[at] == h
-            found.append(at[same])
-            owners.append(owner[same])
-        best, sure, mean = np.full(n, -1), np.zeros(n), np.full((n, k), float(ABSENT))
+            while len(hit := np.flatnonzero(at >= 0)):
+                at, h, owner = at[hit], h[hit], owner[hit]
+                same = self.hash[at] == h
+                found.append(at[same])
+                owners.append(owner[same])
+                at, h, owner = self.chain[at[~same]], h[~same], owner[~same]
+        best, mean = np.full(n, -1), np.full((n, k), float(ABSENT))
         if not found or not sum(map(len, found)):
-            return best, sure, mean
+            return best, mean
         key = np.concatenate(owners).astype(np.int64) << 24 | np.concatenate(found)
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.minimum(np.diff(np.append(first, len(key))), 4095)
-        key = key[first]
+        count = np.diff(np.append(first, len(key)))
+        owner, gram = key[first] >> 24, key[first] & (2**24 - 1)
         # by part, then frequency, then the n-gram's own standing
-        key = (key >> 24) << 40 | (4095 - count) << 24 | (key & (2**24 - 1))
-        key.sort()
-        owner, gram = key >> 40, key & (2**24 - 1)
+        most = int(count.max())
+        if n * (most + 1) * len(self.hash) < 2**62:  # as one number, which sorts quicker
+            key = (owner * (most + 1) + most - count) * len(self.hash) + gram
+            key.sort()
+            gram, owner = key % len(self.hash), key // len(self.hash) // (most + 1)
+        else:
+            order = np.lexsort((gram, -count, owner))
+            owner, gram = owner[order], gram[order]
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         size = np.diff(np.append(begin, len(owner)))
         place = np.arange(len(owner)) - np.repeat(begin, size)
@@ -190,9 +197,7 @@ class Profiles:
         who = owner[begin]
         mean[who] = total / size[:, None]
         best[who] = mean[who].argmin(1)
-        two = np.sort(mean[who], axis=1)[:, :2]
-        sure[who] = 1.0 if k < 2 else (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-9)
-        return best, sure, mean
+        return best, mean
 
 
 def profiles(samples: DataFrame, labelled: DataFrame, most: int = 2500) -> Profiles:
@@ -211,8 +216,13 @@ def profiles(samples: DataFrame, labelled: DataFrame, most: int = 2500) -> Profi
     return Profiles([(r[0], r[1]) for r in rows], more)
 
 
-def _judged(p: Profiles, texts: list[str | None], told: list[list[str]]) -> Iterator[tuple[int, int, int, str, float]]:
-    """(row, start, end, lang, confidence) for the parts of texts; a language that the row names wins where it is nearly as near."""
+def _judged(p: Profiles, texts: list[str | None], told: list[list[str]]) -> Iterator[tuple[int, int, int, str | None, float]]:
+    """(row, start, end, lang, confidence) for the parts of texts; a language that the row names wins where it is nearly as near.
+
+    The confidence is the distance to the nearest other language as a share of that and the distance to the one given: 1 where they
+    are one, a half where the two are equally near, less where a named language wins over a nearer one. A part that shares no n-gram with any profile
+    has no language and confidence 0.
+    """
     row, start, end, letters = [], [], [], []
     for i, text in enumerate(texts):
         for s, e, x in parts(text) if text else ():
@@ -220,18 +230,22 @@ def _judged(p: Profiles, texts: list[str | None], told: list[list[str]]) -> Iter
             start.append(s)
             end.append(e)
             letters.append(x)
-    best, sure, mean = p.judge(letters)
+    best, mean = p.judge(letters)
+    two = np.sort(mean, axis=1)[:, :2].tolist() if len(p.codes) > 1 else None
     number = {c: i for i, c in enumerate(p.codes)}
     for j, i in enumerate(row):
         b = best[j]
         if b < 0:
+            yield i, start[j], end[j], None, 0.0
             continue
         for c in told[i]:
             k = number.get(c, b)
             if k != b and mean[j, k] <= NEARLY * mean[j, b]:
                 b = k
                 break
-        yield i, start[j], end[j], p.codes[b], float(sure[j])
+        own = float(mean[j, b])
+        other = two[j][1] if two and b == best[j] else two[j][0] if two else own
+        yield i, start[j], end[j], p.codes[b], 1.0 if not two or other + own == 0 else other / (other + own)
 
 
 def _talk_lines(talks: DataFrame) -> DataFrame:
@@ -276,10 +290,28 @@ def label_parts(utterances: DataFrame, talks: DataFrame, samples: DataFrame, siz
     return spoken.unionByName(_talk_lines(talks)).mapInArrow(run, schema).distinct()
 
 
-def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.0, size: int = 4000) -> DataFrame:
+def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.0) -> DataFrame:
     """(talk_id, source_line, lang, confidence, named): every language an utterance is in, with its best confidence and whether the
     utterance's lang names it; with source_line 0 every language of a talk's text, if at least that share of its lines is in it.
 
+    Every utterance and talk has a row: one in no language that the profiles know, as one of null text, has a null language and confidence 0.
+    """
+    found = _line_languages(utterances, talks, samples, share)
+    none = F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("named")
+    blank = utterances.where("text IS NULL OR trim(text) = ''").select("talk_id", "source_line", *none)
+    blank = blank.unionByName(talks.where("text IS NULL").select("talk_id", F.lit(0).alias("source_line"), *none)).distinct()
+    return found.drop("n", "lines").unionByName(blank)
+
+
+def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1) -> DataFrame:
+    """(talk_id, source_line, lang): the languages of utterances and, with source_line 0, those of at least that share of the lines of
+    talks, that their labels don't name."""
+    return _line_languages(utterances, talks, samples, share).where("NOT named AND lang IS NOT NULL").select("talk_id", "source_line", "lang")
+
+
+def _line_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float, size: int = 4000) -> DataFrame:
+    """row_languages of the texts that aren't null or blank, with n, the lines in the language, and lines, all of them.
+
     Lines go to tasks by talk and text: the line of a talk's text and the utterance it comes from meet in one task and are judged
     once, and neither a long talk nor a frequent line burdens one task.
     """
@@ -308,11 +340,12 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
                 names_ = [[*dict.fromkeys(c for i in range(first[k], first[k + 1] if k + 1 < len(first) else len(text)) for c in told[i])] for k in range(len(first))]
                 found: list[dict[str, float]] = [{} for _ in first]
                 for k, _, _, code, sure in _judged(model.value, [text[i] for i in first], names_):
-                    found[k][code] = max(sure, found[k].get(code, 0.0))
+                    if code is not None:
+                        found[k][code] = max(sure, found[k].get(code, 0.0))
                 # utterances give a row per language, a talk's lines are summed up here as far as they are at hand
                 sums: dict[tuple, list] = {}
                 for i, k in enumerate(whose):
-                    many = found[k].items() or ([(None, 0.0)] if line[i] == 0 else ())
+                    many = found[k].items() or [(None, 0.0)]
                     for code, sure in many:
                         x = sums.setdefault((talk[i], line[i], code), [0.0, False, 0, 0.0])
                         x[0] = max(x[0], sure)
@@ -325,12 +358,8 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
     schema = "talk_id string, source_line int, lang string, confidence double, named boolean, n bigint, weight double"
     each = both.mapInArrow(run, schema).groupBy("talk_id", "source_line", "lang").agg(F.max("confidence").alias("confidence"), F.bool_or("named").alias("named"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     # a line in several languages has a row for each, whose weights make up one line
-    total = F.round(F.sum("weight").over(W.partitionBy("talk_id", "source_line")))
-    kept = each.withColumn("_lines", total).where(F.col("lang").isNotNull() & ((F.col("source_line") != 0) | (F.col("n") >= share * F.col("_lines") - 1e-9)))
-    return kept.select("talk_id", "source_line", "lang", "confidence", "named")
-
-
-def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1) -> DataFrame:
-    """(talk_id, source_line, lang): the languages of utterances and, with source_line 0, those of at least that share of the lines of
-    talks, that their labels don't name."""
-    return row_languages(utterances, talks, samples, share).where("NOT named").select("talk_id", "source_line", "lang")
+    whole = W.partitionBy("talk_id", "source_line")
+    kept = each.withColumn("lines", F.round(F.sum("weight").over(whole))).withColumn("_known", F.count("lang").over(whole))
+    enough = (F.col("source_line") != 0) | (F.col("n") >= share * F.col("lines") - 1e-9)
+    kept = kept.where(F.when(F.col("lang").isNull(), F.col("_known") == 0).otherwise(enough))
+    return kept.select("talk_id", "source_line", "lang", "confidence", "named", "n", "lines")

@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector, by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample; every vector is then indexed in one leaf per tree. A query looks into the leaves of
+The trees are fitted on a bounded sample; every vector is then indexed in one leaf per tree. Leaves that are still too large are split
+by trees fitted on bounded samples of their own vectors, level by level. A query looks into the leaves of
 all trees that are nearest to it: one priority queue, shared by the trees, orders the branches by how far the query lies on
 their other side. That distance never shrinks on the way down and one child always keeps its parent's, so keeping the best
 branches level by level finds the same leaves as popping them one by one, and is done for thousands of queries at once. Within
-a leaf the cosines are computed exactly, in double precision, and the best of all leaves are merged.
+a leaf the cosines are bounded from codes of a byte per number; what may be among the best of all leaves is reranked by exact
+cosines in double precision.
 
 Copies of a vector are searched for once: they form a class that its least id stands for.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from weftline.session import cut
 
 FOUND = "a bigint, b bigint, cosine double"
+ROUTED = "leaf bigint, role tinyint, gap float, id bigint, code binary"
+LEVELS = 4
 
 
 class Forest:
@@ -62,10 +66,10 @@ class Forest:
             node = 2 * node + 1 + (self.side(x, tree, node) > 0)
         return tree * (self.nodes + 1) + node - self.nodes
 
-    def nearest(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The leaves, of all trees together, that are first in each row's priority queue."""
+    def nearest(self, x: np.ndarray, visits: int, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves, of all trees together, that are first in each row's priority queue, with their gaps; gap is what rows begin with."""
         tree = np.broadcast_to(np.arange(self.trees), (len(x), self.trees))
-        node, gap = np.zeros_like(tree), np.zeros(tree.shape, np.float32)
+        node, gap = np.zeros_like(tree), np.zeros(tree.shape, np.float32) if gap is None else gap[:, None]
         for _ in range(self.depth):
             side = self.side(x, tree, node)
             tree, node = np.concatenate([tree, tree], 1), np.concatenate([2 * node + 1, 2 * node + 2], 1)
@@ -73,7 +77,20 @@ class Forest:
             if gap.shape[1] > visits:
                 keep = np.argpartition(gap, visits - 1, axis=1)[:, :visits]
                 tree, node, gap = (np.take_along_axis(v, keep, 1) for v in (tree, node, gap))
-        return tree * (self.nodes + 1) + node - self.nodes
+        return tree * (self.nodes + 1) + node - self.nodes, gap
+
+    def dump(self) -> bytes:
+        """One tree as bytes."""
+        return np.int32(self.depth).tobytes() + self.offsets.tobytes() + self.planes.tobytes()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Forest:
+        out = cls.__new__(cls)
+        out.trees, out.depth = 1, int(np.frombuffer(raw, np.int32, 1)[0])
+        out.nodes = 2**out.depth - 1
+        out.offsets = np.frombuffer(raw, np.float32, out.nodes, 4)
+        out.planes = np.frombuffer(raw, np.float32, offset=4 + 4 * out.nodes).reshape(out.nodes, -1)
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -88,19 +105,115 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _packed(vector: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(s):
-        return s.map(lambda v: np.asarray(v, np.float32).tobytes())
+def _rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    x = np.ascontiguousarray(x)
+    wide = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * wide).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _coded(x: np.ndarray) -> np.ndarray:
+    """Unit rows as codes: a scale, the length of what the code leaves out, and a signed byte per number."""
+    scale = np.abs(x).max(1) / 127
+    code = np.rint(x / scale[:, None])
+    left = np.linalg.norm(x - code * scale[:, None], axis=1) * (1 + 1e-6) + 1e-7
+    return np.concatenate([np.stack([scale, left], 1).astype(np.float32).view(np.int8), code.astype(np.int8)], 1)
+
+
+def _decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that codes stand for, and how far they may be from the true ones."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+    about = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64)
+    return raw[:, 8:].astype(np.float64) * about[:, :1], about[:, 1]
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows (row_index, embedding, ..) with the embedding as binary float32 and its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("embedding").flatten().cast(pa.float32())
+            size = np.diff(b.column("embedding").offsets.to_numpy()).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * 4
+            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(held.to_numpy()))])
+            yield pa.RecordBatch.from_arrays([b.column("row_index"), b.column("_asks"), packed, pa.array(size)], ["row_index", "_asks", "packed", "_n"])
+
+    return rows.select("row_index", "_asks", "embedding").mapInArrow(run, "row_index bigint, _asks boolean, packed binary, _n int")
 
-    return run(vector)
+
+def _spread(row: np.ndarray, leaf: np.ndarray, role: np.ndarray, gap: np.ndarray, ids: pa.Array, code: pa.Array) -> pa.RecordBatch:
+    """One routed row for each row and leaf; a row that is held in a leaf and asks there has both roles."""
+    order = np.lexsort((leaf, row))
+    row, leaf, role, gap = row[order], leaf[order], role[order], gap[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (leaf[1:] != leaf[:-1])]))
+    role, gap = np.bitwise_or.reduceat(role, first), np.maximum.reduceat(gap, first)
+    take = pa.array(row[first])
+    return pa.RecordBatch.from_arrays([pa.array(leaf[first], pa.int64()), pa.array(role, pa.int8()), pa.array(gap, pa.float32()), ids.take(take), code.take(take)], ["leaf", "role", "gap", "id", "code"])
+
+
+def _refined(routed: DataFrame, over: DataFrame, visits: int, leaf: int, sample: int, salt: int = 100_000) -> DataFrame:
+    """routed with the leaves of over (leaf, count) split by a tree each, fitted on at most about sample of the leaf's vectors.
+
+    A tree goes to the tasks before its leaf's rows, which are streamed; a large leaf's rows are spread over several tasks.
+    """
+    held = F.col("role").bitwiseAND(1) == 1
+    stay = routed.join(over.select("leaf"), "leaf", "left_anti")
+    deep = cut(routed.join(over.withColumn("_salts", F.ceil(F.col("count") / salt).cast("int")), "leaf"))
+
+    def fit(group: pa.Table) -> pa.Table:
+        x = _decoded(group.column("code").combine_chunks())[0].astype(np.float32)
+        count, name = group.column("count")[0].as_py(), group.column("leaf")[0].as_py()
+        depth = max(1, min(math.ceil(math.log2(count / leaf)), int(math.log2(max(len(x) / 8, 2)))))
+        return pa.table({"leaf": pa.array([name], pa.int64()), "tree": pa.array([Forest(x, 1, depth, seed=name % 2**31).dump()], pa.binary())})
+
+    few = F.pmod(F.xxhash64("id", "leaf"), F.lit(2**30)) < F.least(F.lit(1.0), sample / F.col("count")) * 2**30
+    trees = cut(deep.where(held & few).select("leaf", "count", "code").groupBy("leaf").applyInArrow(fit, "leaf bigint, tree binary"))
+    rows = deep.withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).select("leaf", "_salt", "role", "gap", "id", "code")
+    sent = trees.join(over, "leaf").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / salt).cast("int") - 1)))
+    sent = sent.select("leaf", "_salt", F.lit(0).cast("tinyint").alias("role"), F.lit(0.0).cast("float").alias("gap"), F.lit(None).cast("bigint").alias("id"), F.col("tree").alias("code"))
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, name = None, None
+        for whole in batches:
+            names, roles = whole.column("leaf").to_numpy(), whole.column("role").to_numpy()
+            cuts = sorted({0, len(whole), *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), *(np.flatnonzero(roles == 0) + 1).tolist()})
+            for begin, end in zip(cuts, cuts[1:]):
+                if roles[begin] == 0:
+                    tree, name = Forest.load(whole.column("code")[begin].as_py()), int(names[begin])
+                    continue
+                if name != names[begin]:  # no vector of this leaf was drawn for a tree
+                    yield whole.slice(begin, end - begin)
+                    continue
+                for at in range(begin, end, 2000):
+                    b = whole.slice(at, min(2000, end - at))
+                    x = _decoded(b.column("code"))[0].astype(np.float32)
+                    role, gap = b.column("role").to_numpy(), b.column("gap").to_numpy()
+                    own, asking = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+                    home = tree.home(x[own])[:, 0]
+                    near, far = tree.nearest(x[asking], visits, gap[asking])
+                    row = np.concatenate([own, np.repeat(asking, near.shape[1])])
+                    into = np.concatenate([home, near.ravel()]) + 1 + (name << 12)
+                    kind = np.concatenate([np.full(len(own), 1), np.full(near.size, 2)])
+                    yield _spread(row, into, kind, np.concatenate([np.zeros(len(own), np.float32), far.ravel()]), b.column("id"), b.column("code"))
+
+    told = rows.unionByName(sent).repartition("leaf", "_salt").sortWithinPartitions("leaf", "_salt", "role")
+    down = stay.select(*ROUTED_NAMES).unionByName(told.select("leaf", "role", "gap", "id", "code").mapInArrow(descend, ROUTED))
+    # a query's branches of all leaves and trees share one queue
+    asks = F.col("role").bitwiseAND(2) == 2
+    first = F.row_number().over(W.partitionBy("id").orderBy("gap", "leaf")) <= visits
+    kept = down.where(asks).withColumn("_in", first)
+    kept = kept.withColumn("role", F.when(F.col("_in"), F.col("role")).otherwise(F.col("role").bitwiseAND(1)).cast("tinyint")).where("role > 0")
+    return cut(kept.select(*ROUTED_NAMES).unionByName(down.where(~asks).select(*ROUTED_NAMES)))
+
+
+ROUTED_NAMES = [x.split()[0] for x in ROUTED.split(", ")]
 
 
 def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visits: int = 12, leaf: int = 256, sample: int = 20_000, queries: Column | None = None, block: int = 2048) -> DataFrame:
     """(a, b, cosine): for each distinct vector a that queries selects, its k most similar others with at least floor.
 
-    vectors: (id bigint, packed binary), ids unique and vectors distinct. The trees are fitted on at most sample vectors;
-    leaves that hold more than block vectors are searched in blocks, all of them.
+    vectors: (id bigint, packed binary), ids unique and vectors distinct. Trees are fitted on at most about sample vectors each.
+    Leaves of more than block vectors are split by further trees; one that no plane splits is searched in blocks, all of them.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -113,74 +226,92 @@ def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visi
     points = points / np.linalg.norm(points, axis=1, keepdims=True)
     depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(points) / 8, 1)))))
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth))
+    visits = max(visits, trees)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 b = whole.slice(at, 2000)
-                x = _matrix(b.column("packed")).astype(np.float32)
-                home, asks = f.home(x), b.column("asks").to_numpy(zero_copy_only=False)
-                pairs = [np.stack([np.repeat(np.arange(len(b)), f.trees), home.ravel(), np.full(home.size, 1)])]
-                if asks.any():
-                    rows = np.flatnonzero(asks)
-                    near = f.nearest(x[rows], max(visits, f.trees))
-                    near = np.concatenate([home[rows], near], 1)
-                    pairs.append(np.stack([np.repeat(rows, near.shape[1]), near.ravel(), np.full(near.size, 2)]))
-                row, where, role = np.concatenate(pairs, 1)
-                key, back = np.unique(row * (f.trees * (f.nodes + 1)) + where, return_inverse=True)
-                roles = np.zeros(len(key), np.int64)
-                np.bitwise_or.at(roles, back, role)
-                row, where = key // (f.trees * (f.nodes + 1)), key % (f.trees * (f.nodes + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(roles, pa.int8()), b.column("id").take(pa.array(row)), b.column("packed").take(pa.array(row))], ["leaf", "role", "id", "packed"])
-
-    routed = vectors.withColumn("asks", F.lit(True) if queries is None else queries).mapInArrow(route, "leaf int, role tinyint, id bigint, packed binary")
-    # leaves that are too large are cut into blocks of indexed vectors, each of which meets all the leaf's queries
+                x = _matrix(b.column("packed"))
+                code, x = _rows(_coded(x)), x.astype(np.float32)
+                home, rows = f.home(x), np.flatnonzero(b.column("asks").to_numpy(zero_copy_only=False))
+                near, gap = f.nearest(x[rows], visits) if len(rows) else (np.zeros((0, 0), np.int64), np.zeros((0, 0), np.float32))
+                row = np.concatenate([np.repeat(np.arange(len(b)), f.trees), np.repeat(rows, near.shape[1])])
+                role = np.concatenate([np.full(home.size, 1), np.full(near.size, 2)])
+                yield _spread(row, np.concatenate([home.ravel(), near.ravel()]), role, np.concatenate([np.zeros(home.size, np.float32), gap.ravel()]), b.column("id"), code)
+
+    routed = vectors.withColumn("asks", F.lit(True) if queries is None else queries).select("id", "packed", "asks").mapInArrow(route, ROUTED)
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 2000):
                 home = forest.value.home(_matrix(b.column(0).slice(at, 2000)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(home.ravel(), pa.int32())], ["leaf"])
-
-    over = vectors.select("packed").mapInArrow(settle, "leaf int").groupBy("leaf").count().where(F.col("count") > block)
-    over = over.select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks")).collect()  # at most trees * n / block of the forest's leaves
-    blocks = {r[0]: r[1] for r in over}
-    if blocks:
-        counts = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("leaf")], F.lit(1))
-        own = F.pmod(F.xxhash64("id"), counts).cast("int")
-        routed = routed.withColumn("_own", own).withColumn("block", F.explode(F.when(F.col("role") == 1, F.array("_own")).otherwise(F.sequence(F.lit(0), counts - 1))))
-        asks_only = (F.col("block") != F.col("_own")) & (F.col("role") == 3)
-        routed = routed.withColumn("role", F.when(asks_only, 2).otherwise(F.col("role")).cast("tinyint")).drop("_own")
-    else:
+                leaves, held = np.unique(home, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(held, pa.int64())], ["leaf", "n"])
+
+    # a leaf of the first trees that is too large, if there is one; the pass over the vectors shuffles counts only
+    over = vectors.select("packed").mapInArrow(settle, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("count"))
+    over = cut(over.where(F.col("count") > block))
+    for _ in range(LEVELS):
+        if over.isEmpty():
+            break
+        routed = _refined(routed, over, visits, leaf, sample)
+        over = cut(routed.where(F.col("role").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") > block))
+    if over.isEmpty():
         routed = routed.withColumn("block", F.lit(0))
+    else:  # vectors too much alike for any plane: blocks of held ones, each of which meets all the leaf's queries
+        routed = routed.join(over, "leaf", "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1)))
+        routed = routed.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+        routed = routed.withColumn("block", F.explode(F.when(F.col("role") == 1, F.array("_own")).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
+        asks_only = (F.col("block") != F.col("_own")) & (F.col("role") == 3)
+        routed = routed.withColumn("role", F.when(asks_only, 2).otherwise(F.col("role")).cast("tinyint"))
 
     def best(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, role = group.column("id").to_numpy(), group.column("role").to_numpy()
-        x = _matrix(group.column("packed"))
+        x, left = _decoded(group.column("code").combine_chunks())
         held, asking = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(asking), 512):
             rows = asking[at : at + 512]
             if not len(held):
                 break
             near = x[rows] @ x[held].T
-            near[rows[:, None] == held[None, :]] = -9
+            slack = left[rows][:, None] + left[held][None, :] + left[rows][:, None] * left[held][None, :] + 1e-9
+            low, high = near - slack, near + slack
+            same = ids[rows][:, None] == ids[held][None, :]
+            low[same] = high[same] = -9
             m = min(k, len(held))
-            top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            cos = np.take_along_axis(near, top, 1)
-            i, j = np.nonzero(cos >= max(floor, -2))
-            out.append((ids[rows[i]], ids[held[top[i, j]]], np.minimum(cos[i, j], 1.0)))
-        a, b, c = (np.concatenate(v) for v in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]))
-        return pa.table({"a": a, "b": b, "cosine": c})
-
-    pairs = routed.groupBy("leaf", "block").applyInArrow(best, FOUND)
-    if queries is None:  # what a finds is found for b too
-        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.select(F.explode(both).alias("_p"), "cosine").select("_p.a", "_p.b", "cosine")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+            least = np.maximum(np.partition(low, len(held) - m, axis=1)[:, len(held) - m], -2)
+            i, j = np.nonzero(high >= np.maximum(least, floor)[:, None])
+            out.append((ids[rows[i]], ids[held[j]], low[i, j], high[i, j]))
+        a, b, c, d = (np.concatenate(v) for v in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]), np.array([]))
+        return pa.table({"a": a, "b": b, "low": c.astype(np.float64), "high": d.astype(np.float64)})
+
+    pairs = routed.select("leaf", "block", "role", "id", "code").groupBy("leaf", "block").applyInArrow(best, "a bigint, b bigint, low double, high double")
+    pairs = pairs.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    # of a query's candidates from all leaves those that may be among its k best
+    at = F.row_number().over(W.partitionBy("a").orderBy(F.desc("low"), "b"))
+    least = F.max(F.when(F.col("_at") == k, F.col("low"))).over(W.partitionBy("a"))
+    pairs = pairs.withColumn("_at", at).withColumn("_least", least).where(F.col("_least").isNull() | (F.col("high") >= F.col("_least")))
+    # each pair's exact cosine once, whichever way it was found
+    two = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("_up")).groupBy("a", "b").agg(F.bool_or("_up").alias("_up"), F.bool_or(~F.col("_up")).alias("_down")))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cosine = np.minimum(np.einsum("ij,ij->i", _matrix(b.column("x")), _matrix(b.column("y"))), 1.0) if len(b) else np.array([])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "_up", "_down")), pa.array(cosine, pa.float64())], ["a", "b", "_up", "_down", "cosine"])
+
+    full = vectors.select("id", "packed")
+    both = two.join(full.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
+    ranked = both.select("a", "b", "_up", "_down", "x", "y").mapInArrow(exact, "a bigint, b bigint, _up boolean, _down boolean, cosine double").where(F.col("cosine") >= floor)
+    # if all ask, what a finds is found for b too
+    up, down = (F.lit(True), F.lit(True)) if queries is None else (F.col("_up"), F.col("_down"))
+    ways = F.array_compact(F.array(F.when(up, F.struct("a", "b")), F.when(down, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    out = ranked.select(F.explode(ways).alias("_p"), "cosine").select("_p.a", "_p.b", "cosine")
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return pairs.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    return out.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def assigned(vectors: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -195,16 +326,14 @@ def neighbors(rows: DataFrame, k: int = 5, floor: float = -1.0, only: Column | N
     rows: (row_index, embedding). Ties go to the lower row_index. Rows of other lengths than the most common would not be
     comparable, so vectors are compared within their length. A collection of fewer than two vectors gives no rows.
     """
-    rows = rows.withColumn("_class", F.sha2(F.col("embedding").cast("string"), 256))
-    members = rows.select("row_index", "_class", (F.lit(True) if only is None else only).alias("_asks"))
-    classes = rows.groupBy("_class").agg(F.min("row_index").alias("id"), F.first("embedding").alias("embedding"))
-    if only is not None:
-        classes = classes.join(members.where("_asks").select("_class").distinct().withColumn("_q", F.lit(True)), "_class", "left")
-    classes = cut(classes.withColumn("_n", F.size("embedding")).withColumn("packed", _packed(F.col("embedding"))).drop("embedding"))
+    rows = _packed(rows.withColumn("_asks", F.lit(True) if only is None else F.coalesce(only, F.lit(False)))).withColumn("_class", F.unhex(F.sha2("packed", 256)))
+    members = rows.select("row_index", "_class", "_asks")
+    classes = rows.groupBy("_class").agg(F.min("row_index").alias("id"), F.first("packed").alias("packed"), F.first("_n").alias("_n"), F.bool_or("_asks").alias("_q"))
+    classes = cut(classes)
     near = None
     for length in [r[0] for r in classes.select("_n").distinct().collect()]:  # a vector column has one length, or a few by mistake
         part = classes.where(F.col("_n") == length)
-        found = search(part, k, floor, queries=None if only is None else F.coalesce(F.col("_q"), F.lit(False)), **how)
+        found = search(part, k, floor, queries=None if only is None else F.col("_q"), **how)
         near = found if near is None else near.unionByName(found)
     if near is None:
         return rows.sparkSession.createDataFrame([], "row_index bigint, neighbor bigint, cosine double, rank int")
