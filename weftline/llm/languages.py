@@ -322,7 +322,7 @@ def _line_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame,
     # a talk's repeated row doubles all its lines, which leaves their shares as they are
     texts = talks.where("text IS NOT NULL").select("talk_id", "text", F.array_join("languages", ";").alias("lang"))
     lines = texts.select("talk_id", F.lit(0).alias("source_line"), F.explode(F.split("text", "\n")).alias("text"), "lang")
-    both = spoken.unionByName(lines).repartition("talk_id", "text").sortWithinPartitions("talk_id", "text")
+    both = spoken.unionByName(lines).hint("rebalance", "talk_id", "text").sortWithinPartitions("talk_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
