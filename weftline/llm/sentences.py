@@ -4,7 +4,7 @@ Lines of nothing but white space are certain boundaries; possible ones are runs
 there and, beside Thai letters, spaces. A first pass over all documents counts how often an opening word stands at a certain start
 and how often after a possible boundary, and the same for closing words and certain ends: an abbreviation stands before
 possible boundaries only, a true closing word at certain ends too. It also measures the lengths of units that hold no possible
-boundary. The second pass gives each document its best division: a span scores by its opening word, its closing word, its
+boundary, and keeps what it found in each text, so that texts are parsed once. The second pass gives each document its best division: a span scores by its opening word, its closing word, its
 length, and whether quotations and brackets are closed within it. Nothing is fitted to labels.
 
 All counts stay in one table. Words that make up at least one in 20 000 of their kind, of which there can be no more than 20 000, go to
@@ -13,10 +13,12 @@ every task; the counts of the others are joined to the documents that hold them,
 
 from __future__ import annotations
 
+import marshal
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,18 +28,20 @@ from weftline.session import cut
 
 KEPT = 20_000
 _BREAK = re.compile(r"\s*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
-_SIGN = r"(?P<mark>[.!?…。！？؟।॥｡．]+)(?P<shut>(?:[\"'”’“」』）)\]\}】》〉]|\s*»)*)"
+_SIGN = r"([.!?…。！？؟।॥｡．]+)((?:[\"'”’“」』）)\]\}】》〉]|\s*»)*)"
 _MARK = re.compile(_SIGN)
 _MARK_OR_GAP = re.compile(_SIGN + r"|(?:(?<=[\u0e01-\u0e5b])|(?<=[\u0e01-\u0e5b][”\"]))\s+(?=\S)|(?<=\S)\s+(?=[\u0e01-\u0e5b])")
 _LIST = re.compile(r"\s*(?:[•◦▪*–—-]\s+|(?:\d{1,3}|[^\W\d_])[.)]\s+)+")
 _LEAD = re.compile(r"[\s\"'“”‘’„«»「『（(\[{【《¿¡•◦▪–—*-]*")
 #: A word with the marks of the scripts that write vowels as marks.
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u0670\u0900-\u0dff\u0e31-\u0e4e'’](?!\W))*")
+_ALNUM = re.compile(r"[^\W_]")
 _THAI = re.compile(r"[\u0e01-\u0e5b]")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _TO_QUOTE = re.compile(r".*[\"'“”‘’„«»「『（(\[{【《¿¡]", re.S)
 _QUOTE, _OPEN, _SHUT = set("\"“”„«»「」『』"), set("(（[【{"), set(")）]】}")
 _SIGNS = re.compile(r"[\"“”„«»「」『』(（\[【{)）\]】}]")
+_SAME = {"｡": "。", "．": "."}
 _ENDS = set("\"”’“」』»'")
 #: Weights of the model. PLAIN is what a further boundary is worth by its mark.
 PLAIN = {".": 1.6, "!": 3.0, "?": 3.0, "…": 2.2, "。": 4.0, "！": 3.5, "？": 3.5, "؟": 3.0, "।": 4.0, "॥": 4.0, " ": 1.2}
@@ -52,6 +56,7 @@ def _dense(c: str) -> bool:
     return c >= "\u3040" and (c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000")
 
 
+@lru_cache(100_000)
 def _shape(word: str) -> str:
     if not word:
         return "none"
@@ -76,40 +81,43 @@ def _shape(word: str) -> str:
 def _opening(text: str, at: int, end: int, spaced: bool) -> tuple[str, str]:
     """The opening word at a position, and its shape. spaced: spaces may be boundaries here, so that numbers and names follow possible
     boundaries far more often than elsewhere and are counted apart."""
-    word, shape = _first(text, at, end)
-    return (f"{word}~", f"{shape}~") if spaced and shape != "thai" else (word, shape)
-
-
-def _first(text: str, at: int, end: int) -> tuple[str, str]:
-    at = _LEAD.match(text, at, end).end()
+    if at < end and not text[at].isalnum():
+        at = _LEAD.match(text, at, end).end()
     if at >= end:
-        return "", "none"
-    c = text[at]
-    if _thai(c):
-        return text[at : min(at + 5, end)], "thai"
-    if _dense(c):
-        return text[at : min(at + 2, end)], "dense"
-    m = _WORD.match(text, at, end)
-    if not m:
-        return c, "sign"
-    word = m[0][:16]
-    if c.islower():
-        return word, "lower"
-    if c.isdigit():
-        return "0", "number"  # which number says nothing
-    return word, "Cap" if c.isupper() else "other"
+        word, shape = "", "none"
+    else:
+        c = text[at]
+        if "\u0e01" <= c <= "\u0e5b":
+            return text[at : min(at + 5, end)], "thai"
+        if c >= "\u3040" and _dense(c):
+            word, shape = text[at : min(at + 2, end)], "dense"
+        elif not (m := _WORD.match(text, at, end)):
+            word, shape = c, "sign"
+        elif c.islower():
+            word, shape = m[0], "lower"
+        elif c.isdigit():
+            word, shape = "0", "number"  # which number says nothing
+        else:
+            word, shape = m[0], "Cap" if c.isupper() else "other"
+    return (f"{word}~", f"{shape}~") if spaced else (word, shape)
 
 
 def _closing(text: str, begin: int, at: int, mark: str, shut: str, spaced: bool) -> tuple[str, str]:
     """The closing word before a mark, with the mark and what closes after it, and their shape."""
-    rest = text[max(begin, at - 24) : at].rsplit(None, 1)
+    back = 24  # how far to look for the word's start; of scripts without spaces only the last characters count
+    while True:
+        start = max(begin, at - back)
+        rest = text[start:at].rsplit(None, 1)
+        if len(rest) > 1 or start == begin or rest and (text[start].isspace() or rest[0][-1] >= "\u0e01" and (_dense(rest[0][-1]) or _thai(rest[0][-1]))):
+            break
+        back *= 4
     word = rest[-1] if rest else ""
-    if m := _TO_QUOTE.match(word):
+    if not word.isalnum() and (m := _TO_QUOTE.match(word)):
         word = word[m.end() :] or word
-    if word and (_dense(word[-1]) or _thai(word[-1])):
-        word = word[-4:] if _thai(word[-1]) else word[-2:]
+    if word and (end := word[-1]) >= "\u0e01":
+        word = word[-4:] if _thai(end) else word[-2:] if _dense(end) else word
     sign = mark + ("»" if shut.strip() else "") + "~" * spaced
-    return word[-16:] + sign, _shape(word) + sign
+    return word + sign, _shape(word) + sign
 
 
 def _closers(text: str, begin: int, at: int, shut: str) -> str:
@@ -121,26 +129,31 @@ def _closers(text: str, begin: int, at: int, shut: str) -> str:
 
 
 class Piece:
-    """The possible boundaries of one paragraph: spots[i] = (end of the unit before, start of the unit after)."""
+    """The possible boundaries of one paragraph: spots[i] = (end of the unit before, start of the unit after).
 
-    __slots__ = ("begin", "end", "spots", "close", "open", "kind", "glued", "first", "last", "dense")
+    marks are the quotes and the depth of brackets before each unit's start and before each unit's end, or None if there are none.
+    """
 
-    def __init__(self, text: str, begin: int, end: int) -> None:
+    __slots__ = ("begin", "end", "spots", "close", "open", "kind", "glued", "first", "last", "dense", "quoted", "word_at", "marks")
+
+    def __init__(self, text: str, begin: int, end: int, thai: bool, dense: bool) -> None:
         self.begin, self.end = begin, end
-        self.spots, self.close, self.open, self.kind, self.glued = [], [], [], [], []
+        self.spots, self.close, self.open, self.kind, self.glued = spots, close, open_, kind, glued = [], [], [], [], []
         at = (m.end() if (m := _LIST.match(text, begin, end)) else begin)
         final = None
-        thai = bool(_THAI.search(text, begin, end))
+        thai = thai and bool(_THAI.search(text, begin, end))
         for m in (_MARK_OR_GAP if thai else _MARK).finditer(text, at, end):
-            if m["mark"] is None:
+            mark, shut = m.groups()
+            if mark is None:
                 a, b = m.span()
                 mark, shut, word_end = " ", "", a
             else:
-                word_end = m.start()
-                mark, shut = m["mark"], _closers(text, begin, word_end, m["shut"])
-                a = m.end("mark") + len(shut)
+                word_end, a = m.start(), m.end(1)
+                if shut:
+                    shut = _closers(text, begin, word_end, shut)
+                    a += len(shut)
                 mark = "…" if mark[-1] == "…" or mark.endswith("..") else mark[-1]
-                mark = {"｡": "。", "．": "."}.get(mark, mark)
+                mark = _SAME.get(mark, mark)
                 if a >= end:
                     final = (word_end, mark, shut)
                     break
@@ -149,21 +162,49 @@ class Piece:
                     b += 1
                 if b == a and mark in ".!?…" and not shut and (text[b].isdigit() or text[b].islower() or text[b] in ",;:"):
                     continue
-            self.spots.append((a, b))
-            self.close.append(_closing(text, begin, word_end, mark, shut, thai))
-            self.open.append(_opening(text, b, end, thai))
-            self.kind.append(mark)
-            self.glued.append(b == a and mark in ".!?…")
+            spots.append((a, b))
+            close.append(_closing(text, begin, word_end, mark, shut, thai))
+            open_.append(_opening(text, b, end, thai))
+            kind.append(mark)
+            glued.append(b == a and mark in ".!?…")
         self.first = _opening(text, begin, end, thai)
         if final:
             self.last = _closing(text, begin, *final, thai)
         else:
             self.last = _closing(text, begin, end, " ", "", thai)
-        self.dense = thai or bool(_DENSE.search(text, begin, end))
+        self.dense = thai or dense and bool(_DENSE.search(text, begin, end))
+        if self.spots:
+            self.quoted = [text[a - 1] in _ENDS for a, _ in self.spots]
+            # where within eight characters of a unit's start its first letter or digit stands
+            self.word_at = [m.start() if (m := _ALNUM.search(text, b, min(b + 8, end))) else b + 8 for b in (begin, *(b for _, b in self.spots))]
+            self.marks = self._marks(text)
+
+    def _marks(self, text: str) -> tuple | None:
+        signs = [(m.start(), m[0]) for m in _SIGNS.finditer(text, self.begin, self.end)]
+        if not signs:
+            return None
+        ends, starts, seen, q, d, at = [a for a, _ in self.spots] + [self.end], [self.begin] + [b for _, b in self.spots], {}, 0, 0, 0
+        for edge in sorted({*ends, *starts}):
+            while at < len(signs) and signs[at][0] < edge:
+                if signs[at][1] in _QUOTE:
+                    q += 1
+                else:
+                    d += 1 if signs[at][1] in _OPEN else -1
+                at += 1
+            seen[edge] = q, d
+        return [seen[x] for x in starts], [seen[x] for x in ends]
+
+    def kept(self) -> tuple:
+        """What a division needs, in plain values."""
+        if not self.spots:
+            return self.begin, self.end
+        return (self.begin, self.end, self.dense, self.last, [a for a, _ in self.spots], [b for _, b in self.spots], self.close, self.open, self.kind, self.glued, self.quoted, self.word_at, self.marks)
 
 
 def pieces(text: str) -> Iterator[Piece]:
-    at = 0
+    at, thai, dense = 0, False, False
+    if not text.isascii():
+        thai, dense = bool(_THAI.search(text)), bool(_DENSE.search(text))
     for m in [*_BREAK.finditer(text), None]:
         begin, end = at, m.start() if m else len(text)
         at = m.end() if m else at
@@ -172,34 +213,61 @@ def pieces(text: str) -> Iterator[Piece]:
         while end > begin and text[end - 1].isspace():
             end -= 1
         if begin < end:
-            yield Piece(text, begin, end)
+            yield Piece(text, begin, end, thai, dense)
 
 
-def _counts(text: str, out: Counter) -> list[str]:
-    """Adds (kind, key, sure or not) and returns the text's own words, each after its kind: o and c are opening and closing words, O and C their shapes, q closing words after a quotation,
-    L the rounded log lengths of units that hold no possible boundary. What a paragraph says n times weighs 1 + log2 n, in
+class Counts:
+    """What texts say, by (word, shape): open and close at certain starts and ends (1) and at possible ones (0), closing words after a
+    quotation, and the rounded log lengths of units that hold no possible boundary. What a paragraph says n times weighs 1 + log2 n, in
     sixteenths, so that one that says the same thousands of times doesn't outweigh all others."""
-    own = set()
-    for p in pieces(text):
-        own.update(("o" + p.first[0], "c" + p.last[0]))
-        out["o", p.first[0], 1] += 16
-        out["O", p.first[1], 1] += 16
-        out["c", p.last[0], 1] += 16
-        out["C", p.last[1], 1] += 16
-        if not p.spots:
-            if p.end - p.begin > 3:
-                out["L", f"{int(p.dense)} {round(4 * math.log(p.end - p.begin))}", 1] += 16
-            continue
-        for kind, held in (("o", p.open), ("c", p.close)):
-            for (word, shape), n in Counter(held).items():
-                weight = round(16 * (1 + math.log2(n)))
-                own.add(kind + word)
-                out[kind, word, 0] += weight
-                out[kind.upper(), shape, 0] += weight
-        after = [p.close[i + 1][0] if i + 1 < len(p.spots) else p.last[0] for i, (a, _) in enumerate(p.spots) if text[a - 1] in _ENDS]
-        for word, n in Counter(after).items():
-            out["q", word, 1] += round(16 * (1 + math.log2(n)))
-    return [*own]
+
+    def __init__(self) -> None:
+        self.words = {(kind, sure): defaultdict(int) for kind in "oc" for sure in (0, 1)}
+        self.after, self.lengths = defaultdict(int), defaultdict(int)
+
+    def __len__(self) -> int:
+        return sum(map(len, (*self.words.values(), self.after, self.lengths)))
+
+    def add(self, text: str) -> tuple[list[str], list[tuple]]:
+        """Counts a text; returns its own words, each after its kind (o or c), and its pieces."""
+        own, parsed, words = set(), [], self.words
+        for p in pieces(text):
+            parsed.append(p.kept())
+            own.update(("o" + p.first[0], "c" + p.last[0]))
+            words["o", 1][p.first] += 16
+            words["c", 1][p.last] += 16
+            if not p.spots:
+                if p.end - p.begin > 3:
+                    self.lengths[f"{int(p.dense)} {round(4 * math.log(p.end - p.begin))}"] += 16
+                continue
+            for kind, held in (("o", p.open), ("c", p.close)):
+                own.update([kind + x[0] for x in held])
+                self._weigh(words[kind, 0], held)
+            if any(p.quoted):
+                self._weigh(self.after, [x[0] for x, shut in zip([*p.close[1:], p.last], p.quoted) if shut])
+        return [*own], parsed
+
+    @staticmethod
+    def _weigh(into: dict, held: list) -> None:
+        if len({*held}) == len(held):
+            for x in held:
+                into[x] += 16
+        else:
+            for x, n in Counter(held).items():
+                into[x] += round(16 * (1 + math.log2(n)))
+
+    def rows(self) -> tuple[list, list, list, list, list]:
+        """(kind, key, sure, other, after): o and c for words, O and C for their shapes, L for lengths."""
+        out = defaultdict(lambda: [0, 0, 0])
+        for (kind, sure), held in self.words.items():
+            for (word, shape), n in held.items():
+                out[kind, word][1 - sure] += n
+                out[kind.upper(), shape][1 - sure] += n
+        for word, n in self.after.items():
+            out["c", word][2] += n
+        for size, n in self.lengths.items():
+            out["L", size][0] += n
+        return tuple([*x] for x in zip(*((*k, *v) for k, v in out.items()))) or ([],) * 5
 
 
 def _row() -> Column:
@@ -207,45 +275,39 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text").alias("row")
 
 
-def statistics(documents: DataFrame, held: int = 200_000) -> tuple[dict, DataFrame]:
-    """The counts over all documents: those of shapes, lengths and frequent words as a bounded table on the driver, and (row, told) with
-    the counts of a document's other words."""
+def statistics(documents: DataFrame, held: int = 200_000) -> tuple[dict, DataFrame, DataFrame]:
+    """The counts over all documents: those of shapes, lengths and frequent words as a bounded table on the driver, (row, told) with
+    the counts of a document's other words, and (row, doc_id, parsed) with the pieces of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: Counter = Counter()
-        names = ["row", "words", "kind", "key", "sure", "other", "after"]
-        types = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        counts = Counts()
+        names = ["row", "doc_id", "parsed", "words", "kind", "key", "sure", "other", "after"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
         def batch(n: int, **columns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
         def flush() -> pa.RecordBatch:
-            keys = [*out]
-            said = [k[0] == "q" for k in keys]
-            b = batch(
-                len(keys),
-                kind=["c" if q else k[0] for k, q in zip(keys, said)],
-                key=[k[1] for k in keys],
-                sure=[out[k] * (k[2] and not q) for k, q in zip(keys, said)],
-                other=[out[k] * (1 - k[2]) for k in keys],
-                after=[out[k] * q for k, q in zip(keys, said)],
-            )
-            out.clear()
-            return b
+            kind, key, sure, other, after = counts.rows()
+            return batch(len(kind), kind=kind, key=key, sure=sure, other=other, after=after)
 
         for b in batches:
-            row, words = [], []
-            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            row, doc, words, parsed = [], [], [], []
+            for at, name, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
                     row.append(at)
-                    words.append(_counts(text, out))
-                    if len(out) > held:
+                    doc.append(name)
+                    own, kept = counts.add(text)
+                    words.append(own)
+                    parsed.append(marshal.dumps(kept))
+                    if len(counts) > held:
                         yield flush()
-            yield batch(len(row), row=row, words=words)
+                        counts = Counts()
+            yield batch(len(row), row=row, doc_id=doc, words=words, parsed=parsed)
         yield flush()
 
-    schema = "row bigint, words array<string>, kind string, key string, sure bigint, other bigint, after bigint"
-    found = cut(documents.select(_row(), "text").mapInArrow(run, schema))
+    schema = "row bigint, doc_id bigint, parsed binary, words array<string>, kind string, key string, sure bigint, other bigint, after bigint"
+    found = cut(documents.select(_row(), F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema))
     each = found.where("kind IS NOT NULL").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("sure", "other", "after")])
     each = cut(each.withColumn("n", F.col("sure") + F.col("other")))
     least = F.lit(0.0)  # there are few shapes and lengths
@@ -259,7 +321,8 @@ def statistics(documents: DataFrame, held: int = 200_000) -> tuple[dict, DataFra
     own = found.where("row IS NOT NULL").select("row", F.explode("words").alias("word"))
     own = own.join(F.broadcast(frequent.where("kind IN ('o', 'c')").select(word)), "word", "left_anti").dropDuplicates(["row", "word"])
     told = own.join(each.where(F.col("n") < least).select(word, "sure", "other", "after"), "word")
-    return table, told.groupBy("row").agg(F.collect_list(F.struct("word", "sure", "other", "after")).alias("told"))  # as many as the text has
+    told = told.groupBy("row").agg(F.collect_list(F.struct("word", "sure", "other", "after")).alias("told"))  # as many as the text has
+    return table, told, found.where("row IS NOT NULL").select("row", "doc_id", "parsed")
 
 
 class Model:
@@ -312,48 +375,37 @@ class Model:
         sure, other, after = self.counts("c", last[0])
         return sure + other >= 4 and after > 0.6 * (sure + other)
 
-    def divide(self, text: str, told: dict) -> list[tuple[int, int]]:
+    def divide(self, parsed: list[tuple], told: dict) -> list[tuple[int, int]]:
         self.told = told
         out: list[tuple[int, int]] = []
-        for p in pieces(text):
-            out += self._best(text, p) if p.spots else [(p.begin, p.end)]
+        for p in parsed:
+            if len(p) == 2:
+                out.append(p)
+            else:
+                out += self._best(*p)
         return out
 
-    def _best(self, text: str, p: Piece) -> list[tuple[int, int]]:
-        gain, kept = [], []
-        for i, (kind, (word, shape)) in enumerate(zip(p.kind, p.open)):
-            g = PLAIN.get(kind, 1.6) + (LOWER if shape.startswith("lower") else self.word("o", (word, shape))) + self.word("c", p.close[i]) + (GLUED if p.glued[i] else 0)
-            if g > -3:
-                kept.append(i)
-                gain.append(g)
-        # bounds[k] = (end of the unit before, start of the unit after), closed by last[k]
-        ends = [p.spots[i][0] for i in kept] + [p.end]
-        starts = [p.begin] + [p.spots[i][1] for i in kept]
-        last = [p.close[i] for i in kept] + [p.last]
-        q = d = 0
-        signs, marks = _SIGNS.finditer(text, p.begin, p.end), {}
-        sign = next(signs, None)
-        for edge in sorted({*ends, *starts}):
-            while sign and sign.start() < edge:
-                if (c := sign[0]) in _QUOTE:
-                    q += 1
-                else:
-                    d += 1 if c in _OPEN else -1
-                sign = next(signs, None)
-            marks[edge] = (q, d)
+    def _best(self, begin: int, end: int, dense: bool, closing: tuple, ends: list, starts: list, close: list, open_: list, kinds: list, glued: list, shut: list, word_at: list, marks: tuple | None) -> list[tuple[int, int]]:
+        word = self.word
+        # what each boundary gains
+        gain = [
+            PLAIN.get(kind, 1.6) + (LOWER if key[1].startswith("lower") else word("o", key)) + word("c", last) + (GLUED if tight else 0)
+            for kind, key, last, tight in zip(kinds, open_, close, glued)
+        ]
+        ends, starts, last = ends + [end], [begin] + starts, close + [closing]
         n = len(ends)
-        after = [marks[x] for x in starts]  # signs before a unit's start
-        quoted = [False] + [text[e - 1] in _ENDS for e in ends[:-1]]
+        after, upto = marks or ([(0, 0)] * n, [(0, 0)] * n)  # signs before a unit's start and end
+        quoted = [False] + shut
         best, back = [-math.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        size, most = self.lengths[p.dense], len(self.lengths[p.dense])
+        size, most = self.lengths[dense], len(self.lengths[dense])
         base = [0.0] * (n + 1)  # the best score up to a start, with what its boundary gains
         peak = [0.0] * (n + 1)  # the highest base up to a start; no length scores above 0
         # starts so far back that length says no more: the highest base, by whether quoted and whether a quotation is open, then by depth
         far: dict = {}
         near = 0
         for j in range(n):
-            end, (q, d), echo = ends[j], marks[ends[j]], self.echo(last[j])
+            end, (q, d), echo = ends[j], upto[j], self.echo(last[j])
             top, arg = -math.inf, 0
             while near < j and end - starts[near] >= most:
                 before, deep = after[near]
@@ -373,7 +425,7 @@ class Model:
                     s += OPEN_PAIR
                 if echo and quoted[i]:
                     s += ECHO
-                if k < 8 and not _WORD.search(text, starts[i], end):
+                if k < 8 and word_at[i] >= end:
                     s += HOLLOW
                 if s > top:
                     top, arg = s, i
@@ -400,7 +452,7 @@ class Model:
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char): the units of every document, from the first character that isn't white space to just after the
     last. A null or blank text has none; documents without an id, or in several copies, keep their rows as they are."""
-    table, told = statistics(documents)
+    table, told, parsed = statistics(documents)
     model = documents.sparkSession.sparkContext.broadcast(Model(table))
     fields = ("word", "sure", "other", "after")
 
@@ -408,13 +460,13 @@ def sentences(documents: DataFrame) -> DataFrame:
         m = model.value
         for b in batches:
             row, start, end = [], [], []
-            for i, (text, *lists) in enumerate(zip(b.column("text").to_pylist(), *(b.column(c).to_pylist() for c in fields))):
+            for i, (kept, *lists) in enumerate(zip(b.column("parsed").to_pylist(), *(b.column(c).to_pylist() for c in fields))):
                 rare = {w: (x / 16, y / 16, z / 16) for w, x, y, z in zip(*lists)} if lists[0] else {}
-                for s, e in m.divide(text, rare) if text else ():
-                    row.append(i)
-                    start.append(s)
-                    end.append(e)
+                units = m.divide(marshal.loads(kept), rare)
+                row += [i] * len(units)
+                start += [x for x, _ in units]
+                end += [x for _, x in units]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start_char", "end_char"])
 
-    texts = documents.select(_row(), "doc_id", "text").join(told, "row", "left")
-    return texts.select("doc_id", "text", *[F.col("told")[c].alias(c) for c in fields]).mapInArrow(run, "doc_id bigint, start_char int, end_char int")
+    texts = parsed.join(told, "row", "left")
+    return texts.select("doc_id", "parsed", *[F.col("told")[c].alias(c) for c in fields]).mapInArrow(run, "doc_id bigint, start_char int, end_char int")
