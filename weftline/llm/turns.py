@@ -21,8 +21,6 @@ from pyspark.sql import types as T
 from weftline.operators.ordered import prefix_sum
 from weftline.session import cut
 
-from .common import once
-
 BRANCHES = 200
 BLOCK_SECONDS = 600
 
@@ -219,80 +217,101 @@ def _resolve(label: Column, slots: Column, number: Column, head: Column, people:
     return run(label, slots, number, head, people)
 
 
+def _headed(text: Column) -> Column:
+    """The part of a text that a name heading it makes up, empty if there is none; only texts with a colon are looked at."""
+    return F.when(F.contains(text, F.lit(":")) | F.contains(text, F.lit("：")), F.regexp_extract(text, _HEAD, 0)).otherwise("")
+
+
 def spoken_rows(utterances: DataFrame, speakers: DataFrame, words: bool = True) -> DataFrame:
     """(talk_id, source_line, second, speaker_id or null, words): the spoken utterances, each once, with what their label or head says.
 
-    Without words that column is null.
+    Labels and heads are resolved once per talk in which they stand. Without words that column is null.
     """
-    rows = utterances.select(
+    text, heading = F.col("text"), F.col("_heading")
+    rows = utterances.where(F.col("talk_id").isNotNull() & F.col("source_line").isNotNull() & is_spoken(text))
+    rows = rows.select("talk_id", "source_line", F.col("source_label").alias("label"), "start_seconds", "start_time", "text", _headed(text).alias("_heading"))
+    rows = rows.select(
         "talk_id",
         "source_line",
-        F.col("source_label").alias("label"),
+        "label",
         "start_seconds",
         "start_time",
         F.regexp_replace("start_time", "[0-9]", "9").alias("clock_shape"),
-        is_spoken(F.col("text")).alias("spoken"),
-        F.nullif(F.regexp_extract("text", _HEAD, 1), F.lit("")).alias("head"),
-        F.when(F.col("text").rlike(_HEAD), is_spoken(F.regexp_replace("text", _HEAD, " "))).otherwise(True).alias("spoken_after_head"),
-        (spoken_words(F.col("text")) if words else F.lit(None).cast("string")).alias("words"),
+        F.when(heading != "", F.regexp_extract(heading, _HEAD, 1)).alias("head"),
+        F.when(heading != "", is_spoken(F.substring(text, F.length(heading) + 1, F.length(text)))).otherwise(True).alias("spoken_after_head"),
+        (spoken_words(text) if words else F.lit(None).cast("string")).alias("words"),
     )
-    rows = cut(once(rows.where("talk_id IS NOT NULL AND source_line IS NOT NULL AND spoken"), "talk_id", "source_line"))
+    rows = cut(rows.dropDuplicates(["talk_id", "source_line"]))
     clocks = clock_layouts(rows)
     person = F.concat_ws("\x1f", F.col("speaker_no").cast("string"), "speaker_id", "display_name")
     own = speakers.where("talk_id IS NOT NULL AND speaker_id IS NOT NULL AND display_name IS NOT NULL AND speaker_no IS NOT NULL").select("talk_id", person.alias("person"), "display_name").distinct()
     # a talk's people, not its lines: a list that grows with no table
     people = own.groupBy("talk_id").agg(F.array_join(F.array_sort(F.collect_list("person")), "\x1e").alias("people"), F.array_distinct(F.flatten(F.collect_list(F.split(_bare(F.col("display_name")), r"\s+")))).alias("name_words"), F.count(F.lit(1)).cast("int").alias("speakers_of_talk"))
-    labels = cut(tokenized(rows.groupBy("talk_id", "label").agg(F.count(F.lit(1)).alias("n")).join(people.drop("people"), "talk_id", "left")))
-    rows = rows.join(people.select("talk_id", "people"), "talk_id", "left")
-    first, last = _branch(labels.select("first", "n"), "first"), _branch(labels.select("last", "n"), "last")
-
-    def climbed(df: DataFrame) -> DataFrame:
-        df = df.join(first, "first", "left").join(last, "last", "left")
-        return df.withColumn("first", F.coalesce("_first", F.lit("*"))).withColumn("last", F.coalesce("_last", F.lit("*"))).drop("_first", "_last")
-
-    mined = layouts(climbed(labels))
-    rows = climbed(tokenized(rows)).join(mined, ["size", "first", "last"], "left").join(clocks, "clock_shape", "left")
+    names = rows.where("label IS NOT NULL OR head IS NOT NULL").groupBy("talk_id", "label", "head").agg(F.count(F.lit(1)).alias("n"))
+    names = cut(tokenized(names.join(people, "talk_id")))
+    first, last = _branch(names.select("first", "n"), "first"), _branch(names.select("last", "n"), "last")
+    names = names.join(first, "first", "left").join(last, "last", "left")
+    names = names.withColumn("first", F.coalesce("_first", F.lit("*"))).withColumn("last", F.coalesce("_last", F.lit("*"))).drop("_first", "_last")
+    names = names.join(layouts(names), ["size", "first", "last"], "left")
     at_slots = F.array_join(F.transform("name_at", lambda i: F.get("tokens", i)), " ")
     number = F.when(F.size("name_at") == 0, F.try_to_number(F.get("tokens", F.col("number_at")), F.lit("999999")).cast("int"))
     found = _resolve(F.col("label"), F.when(F.size("name_at") > 0, at_slots), number, F.col("head"), F.col("people"))
+    # null labels and heads are no keys of a join, so they stand as what no label holds
+    none = F.lit("\x1d")
+    keys = "talk_id", F.coalesce("label", none).alias("_label"), F.coalesce("head", none).alias("_head")
+    names = names.select(*keys, found.alias("_found")).where("_found.by_label IS NOT NULL OR _found.by_head IS NOT NULL")
+    rows = rows.select("*", *keys[1:]).join(names, ["talk_id", "_label", "_head"], "left").join(clocks, "clock_shape", "left")
     part = F.regexp_extract_all("start_time", F.lit("([0-9]+)"), F.lit(1))
     clock = F.when(F.col("unit") == "hms", _hms(part)).when(F.col("unit") == "ms", _ms(part))
-    rows = rows.withColumn("_found", found).withColumn("second", F.coalesce(clock, F.col("start_seconds"), F.lit(0)))
+    rows = rows.withColumn("second", F.coalesce(clock, F.col("start_seconds"), F.lit(0)))
     rows = rows.where(F.col("spoken_after_head") | F.col("_found.by_head").isNull())
     said = F.when(F.col("_found.by_head").isNotNull(), F.trim(F.regexp_replace("words", _HEAD, ""))).otherwise(F.col("words"))
-    return cut(rows.select("talk_id", "source_line", "second", F.coalesce("_found.by_label", "_found.by_head").alias("speaker_id"), said.alias("words")))
+    return rows.select("talk_id", "source_line", "second", F.coalesce("_found.by_label", "_found.by_head").alias("speaker_id"), said.alias("words"))
 
 
-def merged(spoken: DataFrame) -> DataFrame:
-    """spoken rows with their speaker carried on from the spoken row before, and the turn's number in its talk.
+def _in_blocks(spoken: DataFrame) -> DataFrame:
+    """spoken rows with their block of the talk, who speaks as far as the block tells, and the number k of the run of one speaker in it."""
+    rows = spoken.withColumn("_block", F.floor(F.col("second") / BLOCK_SECONDS))
+    inner = W.partitionBy("talk_id", "_block").orderBy("second", "source_line")
+    upto = inner.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_who", F.last("speaker_id", ignorenulls=True).over(upto)).withColumn("_before", F.lag("_who").over(inner)).withColumn("_at", F.row_number().over(inner))
+    fresh = (F.col("_at") > 1) & ~F.col("_who").eqNullSafe(F.col("_before"))
+    return rows.withColumn("_k", F.sum(fresh.cast("int")).over(upto))
+
+
+def _numbered(runs: DataFrame) -> DataFrame:
+    """runs (talk_id, _block, _k, _who, ..) of all blocks with speaker_id, carried on from the blocks before, and the turn's number in its talk.
 
-    Blocks of a talk are scanned apart; what crosses their borders goes through a table with a row per block.
+    What crosses the borders of blocks goes through tables with a row per block.
     """
-    rows = spoken.withColumn("_block", F.floor(F.col("second") / BLOCK_SECONDS))
-    order = F.struct("second", "source_line")
-    ends = rows.groupBy("talk_id", "_block").agg(F.max_by("speaker_id", F.when(F.col("speaker_id").isNotNull(), order)).alias("_end"))
+    ends = runs.groupBy("talk_id", "_block").agg(F.max_by("_who", F.when(F.col("_who").isNotNull(), F.col("_k"))).alias("_end"))
     before = W.partitionBy("talk_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select("talk_id", "_block", F.last("_end", ignorenulls=True).over(before).alias("_carry"), (F.count(F.lit(1)).over(before) == 0).alias("_opens"))
-    rows = rows.join(ends, ["talk_id", "_block"])
-    inner = W.partitionBy("talk_id", "_block").orderBy("second", "source_line")
-    rows = rows.withColumn("_who", F.coalesce(F.last("speaker_id", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, 0)), F.col("_carry")))
-    starts = F.row_number().over(inner) == 1
-    fresh = F.when(starts, F.col("_opens") | ~F.col("_who").eqNullSafe(F.col("_carry"))).otherwise(~F.col("_who").eqNullSafe(F.lag("_who").over(inner)))
-    rows = cut(rows.withColumn("_fresh", fresh.cast("int")))
-    rows = prefix_sum(rows, ["talk_id"], "_block", ["second", "source_line"], F.col("_fresh"), "_turn")
-    return rows.select("talk_id", "source_line", "second", F.col("_who").alias("speaker_id"), "words", (F.col("_turn") + F.col("_fresh")).alias("turn"))
-
-
-def _bounds(rows: DataFrame, *more: Column) -> DataFrame:
-    order = F.struct("second", "source_line")
-    return rows.groupBy("talk_id", "turn").agg(
-        F.max("speaker_id").alias("speaker_id"),
-        F.min("second").alias("start_second"),
-        F.min_by("source_line", order).alias("first_source_line"),
-        F.max_by("source_line", order).alias("last_source_line"),
-        F.count(F.lit(1)).alias("utterances"),
-        *more,
-    )
+    runs = runs.join(ends, ["talk_id", "_block"]).withColumn("speaker_id", F.coalesce("_who", "_carry"))
+    prior = F.lag("speaker_id", 1).over(W.partitionBy("talk_id", "_block").orderBy("_k"))
+    fresh = F.when(F.col("_k") == 0, F.col("_opens") | ~F.col("speaker_id").eqNullSafe(F.col("_carry"))).otherwise(~F.col("speaker_id").eqNullSafe(prior))
+    runs = prefix_sum(runs.withColumn("_fresh", fresh.cast("int")), ["talk_id"], "_block", ["_k"], F.col("_fresh"), "_turn")
+    return runs.withColumn("turn", F.col("_turn") + F.col("_fresh")).drop("_turn", "_fresh", "_who", "_carry", "_opens")
+
+
+def merged(spoken: DataFrame) -> DataFrame:
+    """spoken rows with their speaker carried on from the spoken row before, and the turn's number in its talk."""
+    rows = cut(_in_blocks(spoken))
+    turn = _numbered(rows.groupBy("talk_id", "_block", "_k").agg(F.max("_who").alias("_who"))).select("talk_id", "_block", "_k", "speaker_id", "turn")
+    return rows.drop("speaker_id").join(turn, ["talk_id", "_block", "_k"]).select("talk_id", "source_line", "second", "speaker_id", "words", "turn")
+
+
+def _turns(spoken: DataFrame, words: bool) -> DataFrame:
+    """Every talk's turns: runs within blocks first, which are few, then those of neighbouring blocks put together."""
+    place = F.struct("second", "source_line")
+
+    def said(*order: str) -> list[Column]:
+        return [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "words"))), lambda x: x["words"]), " ").alias("words")] if words else []
+
+    runs = _in_blocks(spoken).groupBy("talk_id", "_block", "_k").agg(F.max("_who").alias("_who"), F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("utterances"), *said("second", "source_line"))
+    runs = _numbered(cut(runs))
+    out = runs.groupBy("talk_id", "turn").agg(F.max("speaker_id").alias("speaker_id"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("utterances").alias("utterances"), *said("first"))
+    return out.select("talk_id", "turn", "speaker_id", F.col("first.second").alias("start_second"), F.col("first.source_line").alias("first_source_line"), F.col("last.source_line").alias("last_source_line"), "utterances", *([F.col("words").alias("text")] if words else []))
 
 
 def turns(utterances: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -301,12 +320,9 @@ def turns(utterances: DataFrame, speakers: DataFrame) -> DataFrame:
     Lines without a talk or a number are left out; a line with neither clock nor seconds stands at second 0; spoken lines before
     the first known speaker make a turn of a null speaker; empty tables give no turns.
     """
-    said = F.array_sort(F.collect_list(F.struct("second", "source_line", "words")))
-    text = F.array_join(F.transform(said, lambda x: x["words"]), " ")
-    return _bounds(merged(spoken_rows(utterances, speakers)), text.alias("text"))
+    return _turns(spoken_rows(utterances, speakers), True)
 
 
 def turn_bounds(utterances: DataFrame, speakers: DataFrame) -> DataFrame:
     """(talk_id, first_source_line, last_source_line, speaker_id) of every turn, without its words."""
-    rows = _bounds(merged(spoken_rows(utterances, speakers, words=False)))
-    return rows.select("talk_id", "first_source_line", "last_source_line", "speaker_id")
+    return _turns(spoken_rows(utterances, speakers, words=False), False).select("talk_id", "first_source_line", "last_source_line", "speaker_id")
