@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,11 +66,14 @@ def spoken_words(text: Column) -> Column:
 # --- layouts -----------------------------------------------------------------------------------------------------
 
 
-def _branch(tokens: DataFrame, which: str) -> DataFrame:
-    """The tokens that have a branch of their own: those of at least one in BRANCHES lines, so at most BRANCHES."""
-    total = F.broadcast(tokens.agg(F.sum("n").alias("_total")))
-    own = tokens.groupBy(which).agg(F.sum("n").alias("_n")).crossJoin(total)
-    return F.broadcast(own.where(F.col("_n") * BRANCHES >= F.col("_total")).select(which, F.col(which).alias(f"_{which}")))
+def _climbed(labels: DataFrame) -> DataFrame:
+    """labels whose first and last tokens stand for the tree's branches: a token of at least one in BRANCHES lines has one, all others share '*'."""
+    each = labels.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("token")) for c in ("first", "last")])).alias("_t"))
+    total = (labels.agg(F.sum("n")).first()[0] or 0) / BRANCHES
+    own = each.groupBy("_t.which", "_t.token").agg(F.sum("n").alias("n")).where(F.col("n") >= total).collect()  # at most BRANCHES of each
+    for c in ("first", "last"):
+        labels = labels.withColumn(c, F.when(F.col(c).isin([t for which, t, _ in own if which == c]), F.col(c)).otherwise("*"))
+    return labels
 
 
 def tokenized(labels: DataFrame) -> DataFrame:
@@ -84,8 +89,8 @@ def layouts(labels: DataFrame) -> DataFrame:
     labels: (label, n, tokens, shape, size, first, last, names_of_talk array, speakers_of_talk int) once per talk and label.
     """
     slots = labels.select("size", "first", "last", "n", "name_words", "speakers_of_talk", F.posexplode("shape").alias("pos", "shape"), "tokens")
-    slots = slots.withColumn("token", F.get("tokens", "pos"))
-    hit = F.exists("name_words", lambda w: (w == _bare(F.col("token"))) | (F.length("token") == 1) & w.startswith(_bare(F.col("token"))))
+    slots = slots.withColumn("token", F.get("tokens", "pos")).withColumn("bare", _bare(F.col("token")))
+    hit = F.array_contains("name_words", F.col("bare")) | (F.length("token") == 1) & F.exists("name_words", lambda w: w.startswith(F.col("bare")))
     fits = F.try_to_number("token", F.lit("999999")).cast("int").between(1, F.col("speakers_of_talk"))
     # counts per token first: a layout that most lines share is then a few rows per position
     per = slots.groupBy("size", "first", "last", "pos", "shape").agg(F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("name"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("fits"))
@@ -145,31 +150,36 @@ def apart(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def who(label: str, people: list[tuple[str, str]], strict: bool = False) -> str | None:
+@lru_cache(1000)
+def _forms(people: tuple[tuple[str, str], ...]) -> list[tuple]:
+    """(id, words of the name, its forms and their letters) of each of a talk's people."""
+    out = []
+    for person, name in people:
+        own = name.split()
+        given, family = " ".join(own[:-1]), own[-1] if own else ""
+        out.append((person, own, [(w, frozenset(w)) for w in {name, f"{family} {given}".strip()} if w]))
+    return out
+
+
+def who(label: str, people: Sequence[tuple[str, str]], strict: bool = False) -> str | None:
     """The id of the one person that a label can stand for; people: (id, folded name). strict: only for whole names."""
     words = label.split()
     if not words:
         return None
-    forms: list[tuple[int, set[str]]] = []
-    for i, (_, name) in enumerate(people):
-        own = name.split()
-        given, family = " ".join(own[:-1]), own[-1] if own else ""
-        forms.append((i, {name, f"{family} {given}".strip()}))
+    forms, letters = _forms(tuple(people)), frozenset(label)
     for sure in (0, 1, 2):  # whole names, then as misspelt, then initial and family name or the family name
         if sure == 2 and strict:
             break
         fits = []
-        for i, ways in forms:
-            if sure == 0 and any(w and (f" {w} " in f" {label} ") for w in ways):
+        for i, (_, own, ways) in enumerate(forms):
+            if sure == 0 and any(f" {w} " in f" {label} " for w, _ in ways):
                 fits.append((0, i))
-            elif sure == 1:
-                d = min(apart(label, w, 2) for w in ways if w) if any(ways) else 3
-                if d <= 2 and len(label) > 6:
+            elif sure == 1 and len(label) > 6:
+                # two edits change no more than four letters of a set
+                d = min((apart(label, w, 2) for w, held in ways if abs(len(w) - len(label)) <= 2 and len(held ^ letters) <= 4), default=3)
+                if d <= 2:
                     fits.append((d, i))
-            elif sure == 2:
-                own = people[i][1].split()
-                if not own:
-                    continue
+            elif sure == 2 and own:
                 d = apart(words[-1], own[-1], 1) if len(own[-1]) > 4 else int(words[-1] != own[-1])
                 if len(words) >= 2 and len(words[-2]) == 1:
                     if words[-2] == own[0][0] and d <= 1:
@@ -181,7 +191,7 @@ def who(label: str, people: list[tuple[str, str]], strict: bool = False) -> str
         if fits:
             fits.sort()
             if len(fits) == 1 or fits[0][0] < fits[1][0]:
-                return people[fits[0][1]][0]
+                return forms[fits[0][1]][0]
             return None
     return None
 
@@ -192,7 +202,7 @@ def _resolve(label: Column, slots: Column, number: Column, head: Column, people:
 
     @F.pandas_udf(T.StructType([T.StructField("by_label", T.StringType()), T.StructField("by_head", T.StringType())]))
     def run(label: pd.Series, slots: pd.Series, number: pd.Series, head: pd.Series, people: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple[list, dict, dict]] = {}
+        known: dict[str, tuple[tuple, dict, dict]] = {}
         out = []
         for whole, words, no, start, listed in zip(label, slots, number, head, people):
             if listed is None:
@@ -200,7 +210,7 @@ def _resolve(label: Column, slots: Column, number: Column, head: Column, people:
                 continue
             if listed not in known:
                 rows = [x.split("\x1f") for x in listed.split("\x1e")]
-                known[listed] = [(r[1], fold(r[2])) for r in rows], {r[0]: r[1] for r in rows}, {}
+                known[listed] = tuple((r[1], fold(r[2])) for r in rows), {r[0]: r[1] for r in rows}, {}
             persons, numbered, seen = known[listed]
             a = b = None
             if no == no and no is not None:
@@ -249,9 +259,7 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, words: bool = True)
     people = own.groupBy("talk_id").agg(F.array_join(F.array_sort(F.collect_list("person")), "\x1e").alias("people"), F.array_distinct(F.flatten(F.collect_list(F.split(_bare(F.col("display_name")), r"\s+")))).alias("name_words"), F.count(F.lit(1)).cast("int").alias("speakers_of_talk"))
     names = rows.where("label IS NOT NULL OR head IS NOT NULL").groupBy("talk_id", "label", "head").agg(F.count(F.lit(1)).alias("n"))
     names = cut(tokenized(names.join(people, "talk_id")))
-    first, last = _branch(names.select("first", "n"), "first"), _branch(names.select("last", "n"), "last")
-    names = names.join(first, "first", "left").join(last, "last", "left")
-    names = names.withColumn("first", F.coalesce("_first", F.lit("*"))).withColumn("last", F.coalesce("_last", F.lit("*"))).drop("_first", "_last")
+    names = _climbed(names)
     names = names.join(layouts(names), ["size", "first", "last"], "left")
     at_slots = F.array_join(F.transform("name_at", lambda i: F.get("tokens", i)), " ")
     number = F.when(F.size("name_at") == 0, F.try_to_number(F.get("tokens", F.col("number_at")), F.lit("999999")).cast("int"))
