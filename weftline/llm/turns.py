@@ -267,7 +267,7 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, words: bool = True)
     # null labels and heads are no keys of a join, so they stand as what no label holds
     none = F.lit("\x1d")
     keys = "talk_id", F.coalesce("label", none).alias("_label"), F.coalesce("head", none).alias("_head")
-    names = names.select(*keys, found.alias("_found")).where("_found.by_label IS NOT NULL OR _found.by_head IS NOT NULL")
+    names = names.select(*keys, found.alias("_found"))  # no filter, which would be resolved for by itself
     rows = rows.select("*", *keys[1:]).join(names, ["talk_id", "_label", "_head"], "left").join(clocks, "clock_shape", "left")
     part = F.regexp_extract_all("start_time", F.lit("([0-9]+)"), F.lit(1))
     clock = F.when(F.col("unit") == "hms", _hms(part)).when(F.col("unit") == "ms", _ms(part))
