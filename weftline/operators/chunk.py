@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.text import content_hash
 from weftline.schemas import CHUNK
 
 
@@ -105,6 +106,44 @@ def chunks(rows: DataFrame, target: int, overlap: int) -> DataFrame:
     return ordered.mapInArrow(run, CHUNK)
 
 
+def members(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row per chunk and row in it, with the chunk's columns, the row's own and is_overlap: whether the chunk before holds it too.
+
+    rows: unique (talk_id, sequence_index, ..). The join is on the single row, so no talk is hot.
+    """
+    own = made.withColumn("sequence_index", F.explode(F.sequence("start_sequence_index", "end_sequence_index")))
+    own = own.withColumn("is_overlap", F.col("sequence_index") < F.col("new_start_sequence_index"))
+    return own.join(rows.select("talk_id", "sequence_index", *[c for c in rows.columns if c not in made.columns and c != "sequence_index"]), ["talk_id", "sequence_index"])
+
+
+def records(made: DataFrame, rows: DataFrame, talks: DataFrame) -> DataFrame:
+    """Whole chunk records in the shape of schemas.CHUNK_RECORD: bounds in sequence, lines and clock, text joined by line feeds and its
+    hash, the rows themselves, what is carried over from the chunk before, and how the chunk came to be closed.
+
+    rows: (talk_id, sequence_index, source_line, start_time, start_seconds, source_label, text); talks: (talk_id, event_id, title,
+    primary_speaker), unique; a talk that isn't there leaves them null. A chunk has as many rows as its target lets it have.
+    """
+    item = F.struct("sequence_index", "source_line", "start_time", "start_seconds", "source_label", "text", "is_overlap")
+    listed = members(made, rows).groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("utterances"))
+    out = made.join(listed, "chunk_id").join(talks.select("talk_id", "event_id", "title", "primary_speaker"), "talk_id", "left")
+    u = F.col("utterances")
+    first, last = F.get(u, F.lit(0)), F.get(u, F.size(u) - 1)
+    before = F.format_string("%s_c%04d", F.col("talk_id"), F.col("chunk_index") - 1)
+    carried = F.col("new_start_sequence_index") - F.col("start_sequence_index")
+    overlap = F.struct(before.alias("previous_chunk_id"), carried.alias("utterance_count"), F.col("overlap_token_count").alias("token_count"), "start_sequence_index", (F.col("new_start_sequence_index") - 1).alias("end_sequence_index"))
+    reason = F.col("reason")
+    candidate = F.when(reason == "closest_before", F.col("end_sequence_index") + 1).when(reason != "end_of_talk", F.col("end_sequence_index"))
+    closure = F.struct("reason", candidate.alias("candidate_sequence_index"), "tokens_before", "tokens_after", "distance_before", "distance_after")
+    text = F.array_join(F.transform(u, lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    out = out.withColumn("text", text)
+    return out.select(
+        "chunk_id", "event_id", "talk_id", "title", "primary_speaker", "chunk_index", "start_sequence_index", "end_sequence_index", "new_start_sequence_index", "new_end_sequence_index",
+        first["source_line"].alias("start_source_line"), last["source_line"].alias("end_source_line"), first["start_time"].alias("start_time"), last["start_time"].alias("end_time"),
+        "utterance_count", "new_utterance_count", "token_count", F.col("new_token_count").alias("new_content_token_count"),
+        F.when(carried > 0, overlap).alias("overlap_with_previous"), closure.alias("closure"), content_hash(F.col("text")).alias("content_sha256"), "text", "utterances",
+    )
+
+
 def coverage(made: DataFrame, rows: DataFrame) -> DataFrame:
     """(talk_id, rows, new_rows, chunks, once): whether the new rows of a talk's chunks cover its rows exactly once, in order."""
     w = W.partitionBy("talk_id").orderBy("chunk_index")

@@ -74,6 +74,74 @@ def chunk_checks(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: The reasons for which a chunk may be closed. Fixed values.
+REASONS = ("exact_target", "closest_after", "closest_before", "tie_include", "forced_progress_over_target", "end_of_talk")
+
+
+def record_checks(made: DataFrame, rows: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The chunk suite: checks of whole records (chunk.records) against the rows they were made of and the settings, each with the
+    number of chunks that break it, of talks for talks_covered and covered_once, and of ids for ids_unique.
+
+    rows: (talk_id, sequence_index, source_line, text, tokens). A chunk may carry over the whole of the one before if that is less
+    than the overlap.
+    """
+    w = W.partitionBy("talk_id").orderBy("chunk_index")
+    # what a record should hold, from the rows themselves
+    placed = made.select("chunk_id", "talk_id", "new_start_sequence_index", F.explode(F.sequence("start_sequence_index", "end_sequence_index")).alias("sequence_index"))
+    n, carried = F.col("tokens"), F.col("sequence_index") < F.col("new_start_sequence_index")
+    own = placed.join(rows.select("talk_id", "sequence_index", "source_line", "text", "tokens"), ["talk_id", "sequence_index"])
+    told = own.groupBy("chunk_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("_text"),
+        F.sum(n).alias("_tokens"),
+        F.coalesce(F.sum(F.when(carried, n)), F.lit(0)).alias("_carried"),
+        F.min_by("tokens", "sequence_index").alias("_first_tokens"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by("source_line", "sequence_index").alias("_from"),
+        F.max_by("source_line", "sequence_index").alias("_to"),
+    )
+    last = F.lead("chunk_id").over(w).isNull()
+    before = F.lag(F.struct("chunk_id", "start_sequence_index", "end_sequence_index")).over(w)
+    both = made.join(told, "chunk_id", "left").withColumn("_last", last).withColumn("_b", before).withColumn("_at", F.row_number().over(w))
+    o, c, b, size = F.col("overlap_with_previous"), F.col("closure"), F.col("_b"), F.col("token_count")
+    opens, whole = b.isNull(), F.col("start_sequence_index") == b["start_sequence_index"]
+    reason, under, over = c["reason"], c["distance_before"], c["distance_after"]
+    closed = (
+        F.when(reason == "exact_target", (size == target) & (c["tokens_after"] == target))
+        .when(reason == "closest_after", (over < under) & (size == c["tokens_after"]) & (c["candidate_sequence_index"] == F.col("end_sequence_index")))
+        .when(reason == "closest_before", (under < over) & (size == c["tokens_before"]) & (c["candidate_sequence_index"] == F.col("end_sequence_index") + 1))
+        .when(reason == "tie_include", (over == under) & (size == c["tokens_after"]) & (c["candidate_sequence_index"] == F.col("end_sequence_index")))
+        .when(reason == "forced_progress_over_target", (size > target) & (F.col("new_utterance_count") == 1))
+        .when(reason == "end_of_talk", F.col("_last"))
+    )
+    measured = (under.isNull() & over.isNull()) | ((under == F.abs(c["tokens_before"] - target)) & (over == F.abs(c["tokens_after"] - target)))
+    out = suite(
+        both,
+        {
+            "index_consecutive": F.col("chunk_index") == F.col("_at") - 1,
+            "id_fits_index": F.col("chunk_id") == F.format_string("%s_c%04d", "talk_id", "chunk_index"),
+            "rows_consecutive": F.col("_rows") == F.col("utterance_count"),
+            "text_reproduces": F.col("text") == F.col("_text"),
+            "token_count_reproduces": size == F.col("_tokens"),
+            "hash_reproduces": F.col("content_sha256") == content_hash(F.col("text")),
+            "lines_match_rows": (F.col("start_source_line") == F.col("_from")) & (F.col("end_source_line") == F.col("_to")),
+            "new_row": (F.col("new_utterance_count") >= 1) & (F.col("new_end_sequence_index") - F.col("new_start_sequence_index") + 1 == F.col("new_utterance_count")),
+            "bounds": (F.col("start_sequence_index") <= F.col("new_start_sequence_index")) & (F.col("new_end_sequence_index") == F.col("end_sequence_index")),
+            "first_has_no_overlap": ~opens | o.isNull(),
+            "overlap_is_suffix": opens | (overlap == 0) | ((o["previous_chunk_id"] == b["chunk_id"]) & (o["end_sequence_index"] == b["end_sequence_index"]) & (o["start_sequence_index"] == F.col("start_sequence_index")) & (o["start_sequence_index"] >= b["start_sequence_index"])),
+            "overlap_reaches": opens | whole | (F.col("_carried") >= overlap),
+            "overlap_is_minimal": opens | (F.col("_carried") - F.when(F.col("_carried") > 0, F.col("_first_tokens")).otherwise(0) < overlap) | (F.col("_carried") == 0),
+            "closure_known": reason.isin(*REASONS),
+            "closure_adds_up": closed & measured,
+        },
+    )
+    # over talks and ids; a talk's new rows are counted, and their numbers summed, so that none stands for another
+    new = made.groupBy("talk_id").agg(F.sum("new_utterance_count").alias("_n"), F.sum((F.col("new_start_sequence_index") + F.col("new_end_sequence_index")) * F.col("new_utterance_count") / 2).alias("_s"))
+    have = rows.groupBy("talk_id").agg(F.count(F.lit(1)).alias("_m"), F.sum("sequence_index").alias("_t"))
+    talks = suite(have.join(new, "talk_id", "full"), {"talks_covered": F.col("_n").isNotNull() & F.col("_m").isNotNull(), "covered_once": (F.col("_n") == F.col("_m")) & (F.col("_s") == F.col("_t"))})
+    ids = suite(made.groupBy("chunk_id").count(), {"ids_unique": F.col("count") == 1})
+    return out.unionByName(talks).unionByName(ids)
+
+
 def vector_checks(vectors: DataFrame, manifest: DataFrame, dim: int, tolerance: float = 1e-5) -> DataFrame:
     """Checks of vectors (row_index, embedding) against a manifest (row_index, chunk_id), each of unique rows."""
     v = F.col("embedding")

@@ -7,6 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def previous(df: DataFrame, group: list[str], block: Column, order: list[Column | str], **values: str) -> DataFrame:
+    """df with out=column of the row before in the group's order, for each out of values; null for a group's first row.
+
+    block must agree with the order. A task scans one block; what crosses their borders goes through a table with a row per block.
+    """
+    own = df.withColumn("_block", block)
+    inner = W.partitionBy(*group, "_block").orderBy(*order)
+    held = F.struct(F.lit(True).alias("_is"), *[F.col(c).alias(out) for out, c in values.items()])
+    own = own.withColumn("_lag", F.lag(held).over(inner))
+    last = F.max_by(held, F.struct(*order)).alias("_last")
+    ends = own.groupBy(*group, "_block").agg(last).withColumn("_carry", F.lag("_last").over(W.partitionBy(*group).orderBy("_block")))
+    ends = ends.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, "_block"])], "_carry")
+    on = F.lit(True)
+    for i, c in enumerate([*group, "_block"]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    before = F.coalesce("_lag", "_carry")
+    return own.join(ends, on).select(*df.columns, *[before[out].alias(out) for out in values])
+
+
+def numbered(df: DataFrame, group: list[str], block: Column, order: list[Column | str], out: str) -> DataFrame:
+    """df with the row's number from 0 in the group's order, as bigint; block must agree with the order."""
+    return prefix_sum(df.withColumn("_nblock", block), group, "_nblock", order, F.lit(1), out).drop("_nblock")
+
+
 def prefix_sum(df: DataFrame, group: list[str], block: str, order: list[Column | str], value: Column, out: str) -> DataFrame:
     """The sum of value over the rows of the group that come before a row, as bigint.
 

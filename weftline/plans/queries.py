@@ -39,7 +39,7 @@ def _norm_sql(x: str) -> str:
 
 #: Common table expressions of the oracles.
 _U = "u AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM utterances)"
-_S = f"{_U}, s AS (SELECT talk_id, source_line, text, start_seconds, {_count_sql('text')} AS tokens, (row_number() OVER (PARTITION BY talk_id ORDER BY source_line) - 1)::INT AS sequence_index FROM u WHERE trim({_clean_sql('text')}) != '')"
+_S = f"{_U}, s AS (SELECT talk_id, source_line, text, start_time, start_seconds, {_count_sql('text')} AS tokens, (row_number() OVER (PARTITION BY talk_id ORDER BY source_line) - 1)::INT AS sequence_index FROM u WHERE trim({_clean_sql('text')}) != '')"
 _C = f"c AS (SELECT DISTINCT * EXCLUDE (ingested_at), {_count_sql('text')} AS tokens FROM chunks)"
 _T = "t AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM talks)"
 _M = f"m AS (SELECT DISTINCT row_index, chunk_id FROM {MANIFEST})"
@@ -51,7 +51,7 @@ def _utterances(spark: SparkSession, sf: str) -> DataFrame:
 
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
     """The utterances with text, their tokens, and a dense sequence in source order."""
-    rows = _utterances(spark, sf).where(T.clean_text(F.col("text")) != "").select("talk_id", "source_line", "text", "start_seconds", T.token_count(F.col("text")).alias("tokens"))
+    rows = _utterances(spark, sf).where(T.clean_text(F.col("text")) != "").select("talk_id", "source_line", "text", "start_time", "start_seconds", "source_label", T.token_count(F.col("text")).alias("tokens"))
     return segment.dense_sequence(rows, "talk_id", "source_line", "sequence_index")
 
 
@@ -383,6 +383,50 @@ def payload_totals(spark, sf):
     return _rounded(chunk.payload(_made(spark, sf)), "ratio")
 
 
+#: Whole records: texts of the chunks' rows, their lines and clocks, the chunk before, and the candidate of the closure.
+_RECORDS = f"""{_CHUNKS}, mm AS (SELECT ch.chunk_id, s.*, s.sequence_index < ch.new_start_sequence_index AS is_overlap FROM ch JOIN s ON s.talk_id = ch.talk_id AND s.sequence_index BETWEEN ch.start_sequence_index AND ch.end_sequence_index),
+    tx AS (SELECT chunk_id, string_agg(text, chr(10) ORDER BY sequence_index) AS text, arg_min(source_line, sequence_index) AS start_source_line, arg_max(source_line, sequence_index) AS end_source_line,
+        string_agg(source_line || CASE WHEN is_overlap THEN '*' ELSE '' END, ' ' ORDER BY sequence_index) AS lines, list(start_time ORDER BY sequence_index) AS clocks FROM mm GROUP BY 1)"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk.records(_made(spark, sf), _spoken(spark, sf), _talks(spark, sf))
+
+
+@_query(f"""WITH {_RECORDS}, {_T} SELECT ch.chunk_id, event_id, ch.talk_id, title, primary_speaker, chunk_index, start_source_line, end_source_line, clocks[1] AS start_time, clocks[-1] AS end_time, token_count, new_token_count AS new_content_token_count,
+    CASE WHEN st_ THEN lag(ch.chunk_id) OVER (PARTITION BY ch.talk_id ORDER BY chunk_index) END AS previous_chunk_id, CASE WHEN st_ THEN overlap_token_count END AS overlap_tokens,
+    CASE reason WHEN 'closest_before' THEN end_sequence_index + 1 WHEN 'end_of_talk' THEN NULL ELSE end_sequence_index END AS candidate_sequence_index, sha256(tx.text) AS content_sha256, tx.text, lines
+    FROM (SELECT *, new_start_sequence_index > start_sequence_index AS st_ FROM ch) ch JOIN tx USING (chunk_id) LEFT JOIN t ON t.talk_id = ch.talk_id""")
+def chunk_records(spark, sf):
+    """Whole chunk records; the rows as their lines, those carried over marked."""
+    o = F.col("overlap_with_previous")
+    lines = F.array_join(F.transform("utterances", lambda u: F.concat(u["source_line"].cast("string"), F.when(u["is_overlap"], "*").otherwise(""))), " ")
+    plain = ["chunk_id", "event_id", "talk_id", "title", "primary_speaker", "chunk_index", "start_source_line", "end_source_line", "start_time", "end_time", "token_count", "new_content_token_count", "content_sha256", "text"]
+    return _records(spark, sf).select(*plain, o["previous_chunk_id"].alias("previous_chunk_id"), o["token_count"].alias("overlap_tokens"), F.col("closure.candidate_sequence_index").alias("candidate_sequence_index"), lines.alias("lines"))
+
+
+@_query(f"""WITH {_RECORDS} SELECT chunk_id, count(*) FILTER (is_overlap) AS carried, count(*) FILTER (NOT is_overlap) AS new FROM mm GROUP BY 1""")
+def chunk_members(spark, sf):
+    """How many rows of each chunk are carried over and how many new, counted by their flags."""
+    placed = chunk.members(_made(spark, sf), _spoken(spark, sf))
+    return placed.groupBy("chunk_id").agg(F.count_if("is_overlap").alias("carried"), F.count_if(~F.col("is_overlap")).alias("new"))
+
+
+_RECORD_CHECKS = ["index_consecutive", "id_fits_index", "rows_consecutive", "text_reproduces", "token_count_reproduces", "hash_reproduces", "lines_match_rows", "new_row", "bounds", "first_has_no_overlap", "overlap_is_suffix", "overlap_reaches", "overlap_is_minimal", "closure_known", "closure_adds_up", "talks_covered", "covered_once", "ids_unique"]
+
+
+@_query(f"""WITH {_RECORDS}, q AS (SELECT *, lag(end_sequence_index) OVER w AS pe, lag(start_sequence_index) OVER w AS ps, row_number() OVER w AS nth FROM ch JOIN tx USING (chunk_id) WINDOW w AS (PARTITION BY talk_id ORDER BY chunk_index)),
+    sums AS (SELECT chunk_id, sum(tokens) AS n, count(*) AS k FROM mm GROUP BY 1),
+    v AS (SELECT * FROM (VALUES {', '.join(f"('{c}')" for c in _RECORD_CHECKS)}) AS x(check_name)),
+    bad AS (SELECT 'token_count_reproduces' AS check_name FROM q JOIN sums USING (chunk_id) WHERE n != token_count UNION ALL SELECT 'rows_consecutive' FROM q JOIN sums USING (chunk_id) WHERE k != utterance_count
+        UNION ALL SELECT 'index_consecutive' FROM q WHERE chunk_index != nth - 1 UNION ALL SELECT 'overlap_reaches' FROM q WHERE nth > 1 AND start_sequence_index != ps AND overlap_token_count < {OVERLAP}
+        UNION ALL SELECT 'closure_adds_up' FROM q WHERE reason = 'exact_target' AND token_count != {TARGET} UNION ALL SELECT 'closure_adds_up' FROM q WHERE reason = 'forced_progress_over_target' AND token_count <= {TARGET})
+    SELECT check_name, count(bad.check_name) = 0 AS passed, count(bad.check_name)::BIGINT AS violations FROM v LEFT JOIN bad USING (check_name) GROUP BY 1""")
+def record_checks(spark, sf):
+    """The whole chunk suite over the records made here."""
+    return expect.record_checks(_records(spark, sf), _spoken(spark, sf), TARGET, OVERLAP)
+
+
 @_query(f"""WITH {_C}, w AS (SELECT *, overlap_with_previous AS o, closure AS cl, row_number() OVER x AS nth, lag(chunk_id) OVER x AS pid, lag(end_sequence_index) OVER x AS pe, lag(start_sequence_index) OVER x AS ps FROM c WINDOW x AS (PARTITION BY talk_id ORDER BY chunk_index)),
     k AS (SELECT unnest([
         {{'n': 'index_consecutive', 'ok': chunk_index = nth - 1}}, {{'n': 'id_fits_index', 'ok': chunk_id = talk_id || '_c' || lpad(chunk_index::VARCHAR, 4, '0')}}, {{'n': 'has_text', 'ok': regexp_matches(text, '[^\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]')}},
