@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.text import content_hash, token_count
+from weftline.functions.text import clean_text, content_hash, token_count
 
+from .bm25 import Index
+from .ordered import previous
 from .vectors import bad_numbers, norm
 
 NOT_BLANK = r"[^\s\p{Z}\x1c-\x1f\x85]"
@@ -27,8 +29,8 @@ def status(checks: DataFrame) -> DataFrame:
 
 def utterance_checks(rows: DataFrame) -> DataFrame:
     """Build checks of parsed lines: clocks, order, text without byte order marks, keys."""
-    w = W.partitionBy("talk_id").orderBy("source_line")
-    marked = rows.withColumn("_before", F.lag("start_seconds").over(w)).withColumn("_copies", F.count(F.lit(1)).over(W.partitionBy("talk_id", "source_line")))
+    marked = previous(rows, ["talk_id"], F.floor(F.col("source_line") / 5000), ["source_line", "ingested_at"], _before="start_seconds")
+    marked = marked.withColumn("_copies", F.count(F.lit(1)).over(W.partitionBy("talk_id", "source_line")))
     return suite(
         marked,
         {
@@ -142,12 +144,91 @@ def record_checks(made: DataFrame, rows: DataFrame, target: int, overlap: int) -
     return out.unionByName(talks).unionByName(ids)
 
 
+def index_checks(index: Index, expected: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The suite of a lexical index against the collection that it should hold: equal numbers of documents, ids unique, none missing and none
+    unexpected, no document without tokens, lengths known and the sum of sound postings, every term weighed and no other."""
+    ids = expected.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).alias("_counted"))
+    want = ids.groupBy("id").agg(F.max("_counted").alias("_counted"), F.count(F.lit(1)).alias("_expected"))
+    have = index.docs.groupBy("id").agg(F.max("dl").alias("dl"), F.count(F.lit(1)).alias("_indexed"))
+    posted = index.postings.groupBy("id").agg(F.sum("tf").alias("_sum"), F.count_if((F.col("tf") < 1) | F.col("tf").isNull()).alias("_low"), (F.count(F.lit(1)) - F.count_distinct("term")).alias("_again"))
+    rows = want.join(have, "id", "full").join(posted, "id", "full")
+    there = F.col("_indexed").isNotNull()
+    out = suite(
+        rows,
+        {
+            "ids_unique": ~there | (F.col("_indexed") == 1),
+            "none_missing": F.col("_expected").isNull() | there,
+            "none_unexpected": ~there | F.col("_expected").isNotNull(),
+            "no_empty_document": ~there | (F.col("dl") > 0),
+            "length_complete": ~there | F.col("dl").isNotNull(),
+            "postings_of_known_documents": F.col("_sum").isNull() | there,
+            "postings_well_formed": F.col("_sum").isNull() | ((F.col("_low") == 0) & (F.col("_again") == 0)),
+            "postings_give_length": ~there | (F.coalesce("_sum", F.lit(0)) == F.col("dl")),
+            "length_reproduces": ~there | F.col("_expected").isNull() | (F.col("dl") == F.col("_counted")),
+        },
+    )
+    count = suite(expected.agg(F.count(F.lit(1)).alias("n")).crossJoin(index.docs.agg(F.count(F.lit(1)).alias("m"))), {"document_count": F.col("n") == F.col("m")})
+    terms = index.terms.select("term", F.lit(True).alias("_t")).join(index.postings.select("term").distinct().withColumn("_p", F.lit(True)), "term", "full")
+    return out.unionByName(count).unionByName(suite(terms, {"terms_match": F.col("_t").isNotNull() & F.col("_p").isNotNull()}))
+
+
+def talk_guards(definitions: DataFrame, rows: DataFrame) -> DataFrame:
+    """(talk_id, problem): what keeps talks from being built from a source's lines; none lets the build go on.
+
+    definitions: (talk_id, event_id, talk_index, start_seconds, end_seconds, start_time, end_time, start_marker, end_marker), bounds inclusive,
+    markers the texts of the first and the last line; a null marker or time isn't checked. rows: the talks' selected lines (talk_id, source_line,
+    start_time, text). Problems: duplicate id, inverted range, overlap with the talk before, empty, first or last time, first or last text.
+    """
+    d = definitions
+    again = d.groupBy("talk_id").count().where("count > 1").select("talk_id", F.lit("duplicate id").alias("problem"))
+    inverted = d.where("end_seconds < start_seconds").select("talk_id", F.lit("inverted range").alias("problem"))
+    blocks = previous(d.where("start_seconds IS NOT NULL"), ["event_id"], F.floor(F.col("talk_index") / 1000), ["talk_index", "start_seconds", "talk_id"], _end="end_seconds")
+    overlap = blocks.where(F.col("start_seconds") <= F.col("_end")).select("talk_id", F.lit("overlap").alias("problem"))
+    line = F.struct("start_time", clean_text(F.col("text")).alias("text"))
+    ends = rows.groupBy("talk_id").agg(F.min_by(line, "source_line").alias("_first"), F.max_by(line, "source_line").alias("_last"))
+    both = d.join(ends, "talk_id", "left")
+    problems = [
+        F.when(F.col("_first").isNull(), "empty"),
+        F.when(F.col("_first.start_time") != F.col("start_time"), "first time"),
+        F.when(F.col("_last.start_time") != F.col("end_time"), "last time"),
+        F.when(F.col("_first.text") != clean_text(F.col("start_marker")), "first text"),
+        F.when(F.col("_last.text") != clean_text(F.col("end_marker")), "last text"),
+    ]
+    each = both.select("talk_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+    return each.unionByName(again).unionByName(inverted).unionByName(overlap)
+
+
+def talk_checks(talks: DataFrame, phrase: str | None = None) -> DataFrame:
+    """The suite of built talks (segment.talk_records): ids unique, none empty, text without byte order marks and rebuilt from its rows,
+    its hash, rows in the order of their lines and numbered from 0; phrase: something that a text must have kept."""
+    u = F.col("utterances")
+    lines, numbers = F.transform(u, lambda x: x["source_line"]), F.transform(u, lambda x: x["sequence_index"])
+    out = suite(
+        talks,
+        {
+            "nonempty": F.col("utterance_count") >= 1,
+            "count_fits": F.size(u) == F.col("utterance_count"),
+            "no_byte_order_mark": ~F.contains(F.col("text"), F.lit("\ufeff")),
+            "text_rebuilt": F.col("text") == F.array_join(F.transform(u, lambda x: x["text"]), "\n"),
+            "hash_reproduces": F.col("content_sha256") == content_hash(F.col("text")),
+            "source_order": lines == F.array_sort(lines),
+            "sequence_consecutive": numbers == F.sequence(F.lit(0), F.size(u) - 1),
+            "clock_of_rows": (F.col("start_time").eqNullSafe(F.get(u, F.lit(0))["start_time"])) & F.col("end_time").eqNullSafe(F.get(u, F.size(u) - 1)["start_time"]),
+        },
+    )
+    out = out.unionByName(suite(talks.groupBy("talk_id").count(), {"ids_unique": F.col("count") == 1}))
+    if phrase is not None:
+        out = out.unionByName(suite(talks.agg(F.count_if(F.contains("text", F.lit(phrase))).alias("n")), {"phrase_kept": F.col("n") > 0}))
+    return out
+
+
 def vector_checks(vectors: DataFrame, manifest: DataFrame, dim: int, tolerance: float = 1e-5) -> DataFrame:
     """Checks of vectors (row_index, embedding) against a manifest (row_index, chunk_id), each of unique rows."""
     v = F.col("embedding")
     nan, inf = bad_numbers(v)
     both = vectors.select("row_index", "embedding", F.lit(True).alias("_v")).join(manifest.select("row_index", "chunk_id").withColumn("_m", F.lit(True)), "row_index", "full")
-    both = both.withColumn("_ids", F.when(F.col("chunk_id").isNotNull(), F.count(F.lit(1)).over(W.partitionBy("chunk_id"))))
+    ids = both.where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_ids"))
+    both = both.join(ids, "chunk_id", "left")
     there = F.col("_v").isNull()
     return suite(
         both,

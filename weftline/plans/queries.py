@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import bm25, chunk, expect, provenance, segment, stats, vectors, windows
+from weftline.operators import bm25, chunk, expect, ordered, provenance, segment, stats, vectors, windows
 from weftline.session import table
 from weftline.sources import transcripts
 
@@ -164,14 +164,15 @@ def rendered_talks(spark, sf):
 @_query(f"""WITH {_U}, w AS (SELECT source_file, source_line, start_seconds, lag(source_line) OVER x AS previous_line, lag(start_seconds) OVER x AS previous_second FROM u WHERE start_seconds IS NOT NULL WINDOW x AS (PARTITION BY source_file ORDER BY source_line))
     SELECT *, start_seconds - previous_second AS delta FROM w WHERE previous_second > start_seconds""")
 def inversions(spark, sf):
-    return segment.inversions(_utterances(spark, sf), "source_file", "source_line", "start_seconds")
+    return segment.inversions(_utterances(spark, sf), ["source_file"], "source_line", "start_seconds")
 
 
-@_query("""WITH w AS (SELECT 1 AS file, o_orderkey, epoch(o_orderdate)::BIGINT AS second FROM orders), x AS (SELECT o_orderkey % 64 AS part, o_orderkey, second, lag(o_orderkey) OVER y AS previous_line, lag(second) OVER y AS previous_second FROM w WINDOW y AS (PARTITION BY o_orderkey % 64 ORDER BY o_orderkey))
+@_query("""WITH w AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS second FROM orders), x AS (SELECT o_orderkey, second, lag(o_orderkey) OVER y AS previous_line, lag(second) OVER y AS previous_second FROM w WINDOW y AS (ORDER BY o_orderkey))
     SELECT *, second - previous_second AS delta FROM x WHERE previous_second > second""")
 def order_inversions(spark, sf):
-    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 64).alias("part"), "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("second"))
-    return segment.inversions(rows, "part", "o_orderkey", "second")
+    """One order over the whole table, scanned in blocks of keys."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("second"))
+    return segment.inversions(rows, [], "o_orderkey", "second")
 
 
 # --- talks -------------------------------------------------------------------------------------------------------------------
@@ -203,11 +204,11 @@ def interval_bins(spark, sf):
     return segment.interval_join(points, "at", spans, "_from", "_to", 3600, ["who"]).select("event_id", "o_orderkey")
 
 
-@_query(f"""WITH {_T}, w AS (SELECT event_id, talk_id, talk_index, start_seconds, end_seconds, lag(end_seconds) OVER (PARTITION BY event_id ORDER BY talk_index, start_seconds, talk_id) AS previous_end FROM t)
+@_query(f"""WITH {_T}, w AS (SELECT event_id, talk_id, talk_index, start_seconds, end_seconds, lag(end_seconds) OVER (PARTITION BY event_id ORDER BY talk_index NULLS FIRST, start_seconds NULLS FIRST, talk_id) AS previous_end FROM t)
     SELECT * FROM w WHERE start_seconds <= previous_end""")
 def definition_overlap(spark, sf):
-    rows = _talks(spark, sf).select("event_id", "talk_id", "talk_index", "start_seconds", "end_seconds").withColumn("_o", F.struct("talk_index", "start_seconds", "talk_id"))
-    return segment.overlapping(rows, "event_id", "_o", "start_seconds", "end_seconds").drop("_o")
+    rows = _talks(spark, sf).select("event_id", "talk_id", "talk_index", "start_seconds", "end_seconds")
+    return segment.overlapping(rows, "event_id", F.floor(F.col("talk_index") / 1000), ["talk_index", "start_seconds", "talk_id"], "start_seconds", "end_seconds")
 
 
 @_query(f"WITH {_S} SELECT talk_id, source_line, sequence_index FROM s")
@@ -226,13 +227,55 @@ def talk_docs(spark, sf):
     return segment.documents(_spoken(spark, sf), "talk_id", "source_line", "text").select("talk_id", "utterance_count", "text")
 
 
-@_query(f"""WITH {_S}, {_T}, d AS (SELECT talk_id, sha256(string_agg(text, chr(10) ORDER BY source_line)) AS h FROM s GROUP BY 1)
-    SELECT t.talk_id, content_sha256 AS recorded, h AS rebuilt FROM t LEFT JOIN d USING (talk_id) WHERE content_sha256 IS DISTINCT FROM h""")
+@_query(f"WITH {_T} SELECT talk_id, content_sha256 AS recorded, sha256(text) AS found FROM t WHERE content_sha256 IS DISTINCT FROM sha256(text)")
 def talk_hash_check(spark, sf):
-    """Talks whose recorded hash isn't that of their utterances joined anew."""
-    built = segment.documents(_spoken(spark, sf), "talk_id", "source_line", "text").select("talk_id", T.content_hash(F.col("text")).alias("rebuilt"))
-    out = _talks(spark, sf).select("talk_id", F.col("content_sha256").alias("recorded")).join(built, "talk_id", "left")
-    return out.where(~F.col("recorded").eqNullSafe(F.col("rebuilt")))
+    """Talks whose text no longer has the recorded hash."""
+    return provenance.changed_texts(_talks(spark, sf), "talk_id", "text", "content_sha256")
+
+
+def _definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The talks' definitions, in the order of their clocks in an event."""
+    return _talks(spark, sf).withColumn("ordinal", F.coalesce("talk_index", F.lit(0)))
+
+
+def _talk_records(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.talk_records(_definitions(spark, sf).drop("start_time", "end_time", "start_seconds", "end_seconds", "text", "utterance_count", "content_sha256", "talk_index", "schema_version"), _spoken(spark, sf))
+
+
+_BUILT = f"""{_S}, {_T}, b AS (SELECT talk_id, count(*)::INT AS n, string_agg(text, chr(10) ORDER BY source_line) AS body, list(start_time ORDER BY source_line) AS clocks, list(start_seconds ORDER BY source_line) AS seconds,
+    string_agg(sequence_index || ':' || source_line, ' ' ORDER BY source_line) AS lines FROM s GROUP BY 1),
+    r AS (SELECT t.*, (row_number() OVER (PARTITION BY event_id ORDER BY coalesce(talk_index, 0), t.talk_id))::INT AS nth, n, body, clocks, seconds, lines FROM t LEFT JOIN b ON t.talk_id = b.talk_id)"""
+
+
+@_query(f"""WITH {_BUILT} SELECT '1.0' AS schema_version, event_id, event_title, event_date, talk_id, nth AS talk_index, title, primary_speaker, array_to_string(speakers, '|') AS speakers, clocks[1] AS start_time, clocks[-1] AS end_time, seconds[1] AS start_seconds, seconds[-1] AS end_seconds,
+    coalesce(n, 0) AS utterance_count, coalesce(body, '') AS text, sha256(coalesce(body, '')) AS content_sha256, source_file, coalesce(lines, '') AS lines FROM r""")
+def talk_records(spark, sf):
+    """Whole talk records made of definitions and lines; the rows as their numbers and lines."""
+    lines = F.array_join(F.transform("utterances", lambda u: F.concat_ws(":", u["sequence_index"], u["source_line"])), " ")
+    return _talk_records(spark, sf).withColumn("lines", lines).withColumn("speakers", F.array_join("speakers", "|")).drop("utterances", "languages")
+
+
+_TALK_CHECKS = ["nonempty", "count_fits", "no_byte_order_mark", "text_rebuilt", "hash_reproduces", "source_order", "sequence_consecutive", "clock_of_rows", "ids_unique"]
+
+
+@_query(f"""WITH {_BUILT}, v AS (SELECT * FROM (VALUES {', '.join(f"('{c}')" for c in _TALK_CHECKS)}) AS x(check_name)),
+    bad AS (SELECT 'nonempty' AS check_name FROM r WHERE n IS NULL UNION ALL SELECT 'sequence_consecutive' FROM r WHERE n IS NULL UNION ALL SELECT 'no_byte_order_mark' FROM r WHERE contains(body, chr(65279)))
+    SELECT check_name, count(bad.check_name) = 0 AS passed, count(bad.check_name)::BIGINT AS violations FROM v LEFT JOIN bad USING (check_name) GROUP BY 1""")
+def talk_checks(spark, sf):
+    return expect.talk_checks(_talk_records(spark, sf))
+
+
+@_query(f"""WITH {_U}, {_T}, e AS (SELECT talk_id, arg_min(start_time, source_line) AS f, arg_max(start_time, source_line) AS l, arg_min({_clean_sql('text')}, source_line) AS ft, arg_max({_clean_sql('text')}, source_line) AS lt FROM (SELECT talk_id, source_line, coalesce(start_time, '') AS start_time, coalesce(text, '') AS text FROM u) GROUP BY 1),
+    b AS (SELECT talk_id, start_seconds, lag(end_seconds) OVER (PARTITION BY event_id ORDER BY talk_index NULLS FIRST, start_seconds, talk_id) AS pe FROM t WHERE start_seconds IS NOT NULL),
+    m AS (SELECT t.talk_id, t.start_time, t.end_time, {_clean_sql("split_part(t.text, chr(10), 1)")} AS sm, {_clean_sql("split_part(t.text, chr(10), -1)")} AS em, f, l, ft, lt, e.talk_id IS NULL AS none FROM t LEFT JOIN e ON t.talk_id = e.talk_id)
+    SELECT talk_id, 'inverted range' AS problem FROM t WHERE end_seconds < start_seconds UNION ALL SELECT talk_id, 'overlap' FROM b WHERE start_seconds <= pe UNION ALL SELECT talk_id, 'empty' FROM m WHERE none
+    UNION ALL SELECT talk_id, 'first time' FROM m WHERE f != start_time UNION ALL SELECT talk_id, 'last time' FROM m WHERE l != end_time UNION ALL SELECT talk_id, 'first text' FROM m WHERE ft != sm UNION ALL SELECT talk_id, 'last text' FROM m WHERE lt != em""")
+def talk_guards(spark, sf):
+    """What keeps the recorded talks from being built anew: their bounds and, as markers, the first and last line of their text."""
+    lines = F.split("text", "\n")
+    definitions = _talks(spark, sf).withColumn("start_marker", F.get(lines, F.lit(0))).withColumn("end_marker", F.element_at(lines, -1))
+    rows = _utterances(spark, sf).select("talk_id", "source_line", F.coalesce("start_time", F.lit("")).alias("start_time"), F.coalesce("text", F.lit("")).alias("text"))
+    return expect.talk_guards(definitions, rows)
 
 
 @_query(f"WITH {_C}, {_T} SELECT t.talk_id, (SELECT count(*) FROM c WHERE c.talk_id = t.talk_id)::BIGINT AS chunks FROM t")
@@ -242,11 +285,11 @@ def talk_chunks(spark, sf):
     return _talks(spark, sf).select("talk_id").join(counts, "talk_id", "left").select("talk_id", F.coalesce("n", F.lit(0)).alias("chunks"))
 
 
-@_query(f"""WITH {_T}, l AS (SELECT event_id, unnest(speakers) AS s FROM t) SELECT event_id, array_to_string(list_sort(list_distinct(list(s))), '|') AS speakers FROM l GROUP BY 1""")
+@_query(f"""WITH {_T}, l AS (SELECT DISTINCT event_id, unnest(speakers) AS speaker FROM t) SELECT event_id, speaker, row_number() OVER (PARTITION BY event_id ORDER BY speaker) - 1 AS position FROM l WHERE speaker IS NOT NULL""")
 def event_speakers(spark, sf):
-    """The sorted distinct speakers of every event."""
-    names = _talks(spark, sf).select("event_id", F.explode("speakers").alias("s")).distinct()
-    return names.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list("s")), "|").alias("speakers"))
+    """The distinct speakers of every event in their order, a row each."""
+    names = _talks(spark, sf).select("event_id", F.explode("speakers").alias("speaker")).where("speaker IS NOT NULL").distinct()
+    return ordered.numbered(names, ["event_id"], F.substring("speaker", 1, 2), ["speaker"], "position")
 
 
 # --- statistics ----------------------------------------------------------------------------------------------------------------
@@ -262,18 +305,28 @@ def token_stats_scoped(spark, sf):
     return _rounded(out, "mean", *[f"p{p}" for p in stats.PERCENTS])
 
 
-_BINS = ", ".join(f"({i}, {a}, {b if b is not None else 'NULL'})" for i, (a, b) in enumerate(stats.TOKEN_BINS))
+def _bins(bins: tuple) -> str:
+    return ", ".join(f"({i}, {a}, {b if b is not None else 'NULL'})" for i, (a, b) in enumerate(bins))
 
 
-@_query(f"""WITH {_S}, b(bin, low, high) AS (VALUES {_BINS}), g AS (SELECT NULL AS scope, tokens FROM s UNION ALL SELECT talk_id, tokens FROM s), n AS (SELECT scope, count(*) AS n FROM g GROUP BY 1)
+@_query(f"""WITH {_S}, b(bin, low, high) AS (VALUES {_bins(stats.TOKEN_BINS)}), g AS (SELECT NULL AS scope, tokens FROM s UNION ALL SELECT talk_id, tokens FROM s), n AS (SELECT scope, count(*) AS n FROM g GROUP BY 1)
     SELECT n.scope, b.bin, b.low, b.high::INT AS high, count(g.tokens)::BIGINT AS count, round(count(g.tokens) / max(n.n), 6) AS share FROM n CROSS JOIN b LEFT JOIN g ON g.scope IS NOT DISTINCT FROM n.scope AND g.tokens >= low AND (high IS NULL OR g.tokens <= high) GROUP BY 1, 2, 3, 4""")
 def token_histogram(spark, sf):
     return _rounded(stats.histogram(_spoken(spark, sf), "tokens", "talk_id"), "share")
 
 
-@_query(f"WITH {_C}, f AS (SELECT quantile_cont(tokens, 0.75) * 4 - quantile_cont(tokens, 0.25) * 3 AS fence FROM c) SELECT chunk_id, tokens, round(fence, 6) AS fence FROM c, f WHERE tokens > fence")
+@_query(f"""WITH {_C}, b(bin, low, high) AS (VALUES {_bins(stats.CHUNK_BINS)}), n AS (SELECT count(*) AS n FROM c)
+    SELECT NULL::VARCHAR AS scope, b.bin, b.low, b.high::INT AS high, count(c.tokens)::BIGINT AS count, round(count(c.tokens) / max(n.n), 6) AS share FROM n CROSS JOIN b LEFT JOIN c ON c.tokens >= low AND (high IS NULL OR c.tokens <= high) GROUP BY 1, 2, 3, 4""")
+def chunk_histogram(spark, sf):
+    return _rounded(stats.histogram(_counted(spark, sf), "tokens", bins=stats.CHUNK_BINS), "share")
+
+
+@_query(f"""WITH d AS (SELECT doc_id, lang, {_count_sql('text')} AS tokens FROM documents), f AS (SELECT quantile_cont(tokens, 0.75) * 4 - quantile_cont(tokens, 0.25) * 3 AS fence FROM d)
+    SELECT doc_id, lang, tokens, round(fence, 6) AS fence, row_number() OVER (ORDER BY tokens DESC, lang NULLS FIRST, doc_id) AS rank FROM d, f WHERE tokens > fence""")
 def token_outliers(spark, sf):
-    return _rounded(stats.outliers(_counted(spark, sf).select("chunk_id", "tokens"), "tokens"), "fence")
+    """Documents far longer than most, the longest first."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", T.token_count(F.col("text")).alias("tokens"))
+    return _rounded(stats.outliers(docs, "tokens", "lang", "doc_id"), "fence")
 
 
 _COMPARED = f"x AS (SELECT chunk_id, talk_id, chunk_index, token_count, tokens, tokens - token_count AS difference, CASE WHEN token_count != 0 THEN round(tokens / token_count, 6) END AS ratio, tokens > 150 AS exceeds FROM c)"
@@ -289,13 +342,21 @@ def count_comparison(spark, sf):
     return _compared(spark, sf).select("chunk_id", "difference", "ratio", "exceeds")
 
 
+def _spread(c: str) -> str:
+    inner = ", ".join(f"round(quantile_cont({c}, {p / 100}), 5) AS {n}_{c}" for n, p in stats.SPREAD)
+    return f"min({c}) AS min_{c}, round(avg({c}), 5) AS mean_{c}, {inner}, max({c}) AS max_{c}"
+
+
 @_query(f"""WITH {_C}, {_COMPARED} SELECT talk_id AS scope, count(*)::BIGINT AS rows, sum(token_count)::BIGINT AS total_a, sum(tokens)::BIGINT AS total_b, round(sum(tokens) / nullif(sum(token_count), 0), 6) AS overall_ratio,
-    count(*) FILTER (difference < 0) AS less, count(*) FILTER (difference = 0) AS equal, count(*) FILTER (difference > 0) AS more, count(*) FILTER (exceeds) AS exceeding,
-    round(avg(ratio), 5) AS mean_ratio, round(quantile_cont(ratio, 0.5), 5) AS median_ratio, round(quantile_cont(ratio, 0.95), 5) AS p95_ratio FROM x GROUP BY GROUPING SETS ((), (talk_id))""")
+    count(*) FILTER (difference < 0) AS less, count(*) FILTER (difference = 0) AS equal, count(*) FILTER (difference > 0) AS more, count(*) FILTER (exceeds) AS exceeding, {_spread('ratio')}, {_spread('difference')} FROM x GROUP BY GROUPING SETS ((), (talk_id))""")
 def ratio_stats(spark, sf):
-    out = stats.compare_summary(_compared(spark, sf), "token_count", "tokens", "talk_id")
-    for c in ("mean_ratio", "median_ratio", "p95_ratio"):
-        out = out.withColumn(c, F.round(c, 5))
+    return _summary(stats.compare_summary(_compared(spark, sf), "token_count", "tokens", "talk_id"))
+
+
+def _summary(out: DataFrame) -> DataFrame:
+    for c in ("ratio", "difference"):
+        for n in ("mean", *[n for n, _ in stats.SPREAD]):
+            out = out.withColumn(f"{n}_{c}", F.round(f"{n}_{c}", 5))
     return _rounded(out, "overall_ratio")
 
 
@@ -304,10 +365,17 @@ def longest_chunk(spark, sf):
     return stats.first_largest(_counted(spark, sf).select("talk_id", "chunk_id", "chunk_index", "tokens"), "tokens", "chunk_index", "talk_id").select("talk_id", "chunk_id", "tokens")
 
 
+@_query(f"WITH {_C} SELECT chunk_id, tokens FROM c ORDER BY tokens DESC NULLS LAST, talk_id, chunk_index, chunk_id LIMIT 1")
+def longest_of_all(spark, sf):
+    return stats.largest(_counted(spark, sf), "tokens", "talk_id", "chunk_index", "chunk_id").select("chunk_id", "tokens")
+
+
 @_query(f"""WITH {_C} SELECT talk_id AS scope, count(*)::BIGINT AS rows, count(*) FILTER (tokens < {TARGET}) AS below, count(*) FILTER (tokens = {TARGET}) AS equal, count(*) FILTER (tokens > {TARGET}) AS above,
-    max(greatest(tokens - {TARGET}, 0)) AS most_over, max(greatest({TARGET} - tokens, 0)) AS most_under, round(avg(abs(tokens - {TARGET})), 6) AS mean_deviation FROM c GROUP BY GROUPING SETS ((), (talk_id))""")
+    round(100.0 * count(*) FILTER (tokens < {TARGET}) / count(*), 6) AS below_percent, round(100.0 * count(*) FILTER (tokens = {TARGET}) / count(*), 6) AS equal_percent, round(100.0 * count(*) FILTER (tokens > {TARGET}) / count(*), 6) AS above_percent,
+    max(greatest(tokens - {TARGET}, 0)) AS most_over, max(greatest({TARGET} - tokens, 0)) AS most_under, round(avg(abs(tokens - {TARGET})), 6) AS mean_deviation, round(quantile_cont(abs(tokens - {TARGET}), 0.5), 6) AS median_deviation,
+    round(quantile_cont(abs(tokens - {TARGET}), 0.95), 6) AS p95_deviation, max(abs(tokens - {TARGET})) AS max_deviation FROM c GROUP BY GROUPING SETS ((), (talk_id))""")
 def target_position(spark, sf):
-    return _rounded(stats.target_position(_counted(spark, sf), "tokens", TARGET, "talk_id"), "mean_deviation")
+    return _rounded(stats.target_position(_counted(spark, sf), "tokens", TARGET, "talk_id"), "below_percent", "equal_percent", "above_percent", "mean_deviation", "median_deviation", "p95_deviation")
 
 
 # --- windows and chunks ----------------------------------------------------------------------------------------------------------
@@ -487,10 +555,15 @@ def bm25_summary(spark, sf):
     return _rounded(bm25.summary(_index(spark, sf)), "mean_length")
 
 
-@_query(f"WITH {_IDX} SELECT term, count(*)::INT AS df, array_to_string(list(id ORDER BY id), ' ') AS ids, array_to_string(list(tf ORDER BY id), ' ') AS tfs FROM tf GROUP BY 1")
+@_query(f"""WITH {_IDX}, pl AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS block FROM dl) SELECT term, block, array_to_string(list(id ORDER BY id), ' ') AS ids, array_to_string(list(tf ORDER BY id), ' ') AS tfs FROM tf JOIN pl USING (id) GROUP BY 1, 2""")
 def bm25_postings(spark, sf):
-    out = bm25.postings_lists(_index(spark, sf))
-    return out.select("term", "df", F.array_join("ids", " ").alias("ids"), F.array_join(F.col("tfs").cast("array<string>"), " ").alias("tfs"))
+    out = bm25.postings_lists(_index(spark, sf), held=100)
+    return out.select("term", "block", F.array_join("ids", " ").alias("ids"), F.array_join(F.col("tfs").cast("array<string>"), " ").alias("tfs"))
+
+
+@_query(f"WITH {_IDX} SELECT term, row_number() OVER (ORDER BY term) - 1 AS position FROM df")
+def bm25_vocab(spark, sf):
+    return bm25.vocabulary(_index(spark, sf))
 
 
 @_query(f"WITH {_IDX}, {_ASK} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, id))::INT AS rank, id, round(score, 6) AS score FROM sc QUALIFY rank <= 10")
@@ -505,13 +578,13 @@ def bm25_topk_padded(spark, sf):
 
 
 @_query(f"""WITH {_IDX}, {_ASK}, h AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, id))::INT AS rank, id, round(score, 6) AS score FROM sc QUALIFY rank <= 5)
-    SELECT query_id, rank, id, score, talk_id, title, start_sequence_index, end_sequence_index, CASE WHEN length(f) <= 220 THEN f ELSE rtrim(substr(f, 1, 219)) || '…' END AS preview
-    FROM (SELECT h.*, c.talk_id, c.title, c.start_sequence_index, c.end_sequence_index, trim(regexp_replace(text, {_SPACE}, ' ', 'g')) AS f FROM h JOIN c ON h.id = c.chunk_id)""")
+    SELECT query_id, rank, id, score, talk_id, title, start_sequence_index, end_sequence_index, text, CASE WHEN length(f) <= 220 THEN f ELSE rtrim(substr(f, 1, 219)) || '…' END AS preview
+    FROM (SELECT h.*, c.talk_id, c.title, c.start_sequence_index, c.end_sequence_index, c.text, trim(regexp_replace(text, {_SPACE}, ' ', 'g')) AS f FROM h JOIN c ON h.id = c.chunk_id)""")
 def search_hits(spark, sf):
-    """The best hits with what a reader wants to see of them."""
+    """The best hits with what a reader wants to see of them, and their whole text; a hit that no chunk is known of is an error."""
     hits = _rounded(bm25.top_k(_index(spark, sf), _asked(spark, sf), 5), "score")
-    about = _chunks(spark, sf).select(F.col("chunk_id").alias("id"), "talk_id", "title", "start_sequence_index", "end_sequence_index", T.preview(F.col("text"), 220).alias("preview"))
-    return hits.join(about, "id").select("query_id", "rank", "id", "score", "talk_id", "title", "start_sequence_index", "end_sequence_index", "preview")
+    about = _chunks(spark, sf).select(F.col("chunk_id").alias("id"), "talk_id", "title", "start_sequence_index", "end_sequence_index", T.preview(F.col("text"), 220).alias("preview"), "text")
+    return bm25.described(hits, about)
 
 
 @_query(f"WITH {_C}, {_M} SELECT chunk_id AS id, 'missing' AS side FROM (SELECT chunk_id FROM c EXCEPT SELECT chunk_id FROM m) UNION ALL SELECT chunk_id, 'unexpected' FROM (SELECT chunk_id FROM m EXCEPT SELECT chunk_id FROM c)")
@@ -519,9 +592,27 @@ def index_id_diff(spark, sf):
     return bm25.id_difference(_chunks(spark, sf), _manifest(spark, sf), "chunk_id")
 
 
-@_query(f"WITH {_IDX}, x AS (SELECT id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1) SELECT dl.id, dl.dl::INT AS counted, coalesce(n, 0) AS indexed FROM dl LEFT JOIN x USING (id) WHERE dl.dl != coalesce(n, 0)")
+@_query(f"WITH {_IDX}, x AS (SELECT id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1) SELECT chunk_id AS id, token_count AS recorded, coalesce(n, 0) AS indexed FROM c LEFT JOIN x ON chunk_id = id WHERE token_count IS DISTINCT FROM coalesce(n, 0)")
 def index_length_check(spark, sf):
-    return bm25.length_check(_index(spark, sf), _chunks(spark, sf), "chunk_id", "text")
+    """Chunks whose recorded length isn't the sum of their postings."""
+    return bm25.length_check(_index(spark, sf), _chunks(spark, sf), "chunk_id", "token_count")
+
+
+@_query(f"""WITH {_IDX}, x AS (SELECT id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1), k AS (SELECT unnest([{{'n': 'ids_unique', 'ok': TRUE}}, {{'n': 'none_missing', 'ok': TRUE}}, {{'n': 'none_unexpected', 'ok': TRUE}}, {{'n': 'no_empty_document', 'ok': dl > 0}}, {{'n': 'length_complete', 'ok': dl IS NOT NULL}},
+        {{'n': 'postings_of_known_documents', 'ok': TRUE}}, {{'n': 'postings_well_formed', 'ok': TRUE}}, {{'n': 'postings_give_length', 'ok': coalesce(n, 0) = dl}}, {{'n': 'length_reproduces', 'ok': TRUE}}]) AS x FROM dl LEFT JOIN x USING (id)),
+    u AS (SELECT x FROM k UNION ALL SELECT {{'n': 'document_count', 'ok': TRUE}} UNION ALL SELECT {{'n': 'terms_match', 'ok': TRUE}} FROM df)
+    SELECT x.n AS check_name, count(*) FILTER (NOT x.ok) = 0 AS passed, count(*) FILTER (NOT x.ok) AS violations FROM u GROUP BY 1""")
+def index_checks(spark, sf):
+    return expect.index_checks(_index(spark, sf), _chunks(spark, sf), "chunk_id", "text")
+
+
+@_query(f"""WITH {_C}, {_M}, a AS (SELECT row_number() OVER (ORDER BY chunk_id) - 1 AS position, chunk_id AS expected FROM c), b AS (SELECT row_number() OVER (ORDER BY row_index, chunk_id) - 1 AS position, chunk_id AS found FROM m)
+    SELECT coalesce(a.position, b.position) AS position, expected, found FROM a FULL JOIN b ON a.position = b.position WHERE expected IS DISTINCT FROM found""")
+def index_order_check(spark, sf):
+    """Where the manifest's order of chunks isn't the chunks' own."""
+    chunks_ = ordered.numbered(_chunks(spark, sf).select("chunk_id"), [], F.substring("chunk_id", 1, 12), ["chunk_id"], "position")
+    listed = ordered.numbered(_manifest(spark, sf), [], F.floor(F.col("row_index") / 10_000), ["row_index", "chunk_id"], "position")
+    return bm25.order_difference(chunks_, listed, "chunk_id")
 
 
 # --- dense search ---------------------------------------------------------------------------------------------------------------------
