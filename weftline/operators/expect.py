@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_text, content_hash, token_count
+from weftline.session import cut
 
 from .bm25 import Index
 from .ordered import previous
@@ -87,11 +88,12 @@ def record_checks(made: DataFrame, rows: DataFrame, target: int, overlap: int) -
     rows: (talk_id, sequence_index, source_line, text, tokens). A chunk may carry over the whole of the one before if that is less
     than the overlap.
     """
+    made, rows = cut(made.drop("utterances")), cut(rows.select("talk_id", "sequence_index", "source_line", "text", "tokens"))  # each is read several times
     w = W.partitionBy("talk_id").orderBy("chunk_index")
     # what a record should hold, from the rows themselves
     placed = made.select("chunk_id", "talk_id", "new_start_sequence_index", F.explode(F.sequence("start_sequence_index", "end_sequence_index")).alias("sequence_index"))
     n, carried = F.col("tokens"), F.col("sequence_index") < F.col("new_start_sequence_index")
-    own = placed.join(rows.select("talk_id", "sequence_index", "source_line", "text", "tokens"), ["talk_id", "sequence_index"])
+    own = placed.join(rows, ["talk_id", "sequence_index"])
     told = own.groupBy("chunk_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("_text"),
         F.sum(n).alias("_tokens"),
@@ -201,6 +203,7 @@ def talk_guards(definitions: DataFrame, rows: DataFrame) -> DataFrame:
 def talk_checks(talks: DataFrame, phrase: str | None = None) -> DataFrame:
     """The suite of built talks (segment.talk_records): ids unique, none empty, text without byte order marks and rebuilt from its rows,
     its hash, rows in the order of their lines and numbered from 0; phrase: something that a text must have kept."""
+    talks = cut(talks)
     u = F.col("utterances")
     lines, numbers = F.transform(u, lambda x: x["source_line"]), F.transform(u, lambda x: x["sequence_index"])
     out = suite(
@@ -245,6 +248,34 @@ def vector_checks(vectors: DataFrame, manifest: DataFrame, dim: int, tolerance:
     )
 
 
+def collection_checks(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Checks of one ordered list of ids against another, each (position, key): equal numbers, equal ids, equal order."""
+    counts = found.agg(F.count(F.lit(1)).alias("n")).crossJoin(expected.agg(F.count(F.lit(1)).alias("m")))
+    out = suite(counts, {"count_expected": F.col("n") == F.col("m")})
+    ids = found.select(key).distinct().withColumn("_f", F.lit(True)).join(expected.select(key).distinct().withColumn("_e", F.lit(True)), key, "full")
+    out = out.unionByName(suite(ids, {"same_ids": F.col("_f").isNotNull() & F.col("_e").isNotNull()}))
+    places = expected.select("position", F.col(key).alias("_e")).join(found.select("position", F.col(key).alias("_f")), "position", "full")
+    return out.unionByName(suite(places, {"same_order": F.col("_e") == F.col("_f")}))
+
+
+#: What a chunker's settings must hold. Fixed rules.
+CHUNK_RULES = {
+    "crossing_rule": "closest_to_target",
+    "tie_breaker": "include",
+    "minimum_new_utterances": 1,
+    "target_tokens": lambda n: isinstance(n, int) and n > 0,
+    "overlap_tokens": lambda n: isinstance(n, int) and n >= 0,
+}
+
+
+def chunk_config_checks(config: dict) -> list[str]:
+    """Names of the chunker's settings that can't be worked with; the overlap must be less than the target."""
+    bad = config_checks(config, CHUNK_RULES)
+    if not bad and config["overlap_tokens"] >= config["target_tokens"]:
+        bad = ["overlap_tokens"]
+    return bad
+
+
 def config_checks(config: dict, rules: dict) -> list[str]:
     """Names of the settings that break their rule, a value to equal or a function to hold; for a job to refuse before it reads."""
     return sorted(k for k, rule in rules.items() if not (rule(config.get(k)) if callable(rule) else config.get(k) == rule))

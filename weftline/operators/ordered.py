@@ -32,20 +32,24 @@ def numbered(df: DataFrame, group: list[str], block: Column, order: list[Column
 
 
 def prefix_sum(df: DataFrame, group: list[str], block: str, order: list[Column | str], value: Column, out: str) -> DataFrame:
-    """The sum of value over the rows of the group that come before a row, as bigint.
+    """The sum of value over the rows of the group that come before a row, as bigint."""
+    return prefix_sums(df, group, block, order, **{out: value})
+
+
+def prefix_sums(df: DataFrame, group: list[str], block: str, order: list[Column | str], **values: Column) -> DataFrame:
+    """For each out of values the sum of its value over the rows of the group that come before a row, as bigint.
 
     The order must agree with that of block. A task scans one block; the blocks' sums are added up in a table with a row per
     block, so even a group that holds most of the rows is spread over its blocks.
     """
-    own = df.withColumn("_value", value.cast("bigint"))
-    sums = own.groupBy(*group, block).agg(F.sum("_value").alias("_sum"))
+    own = df.select("*", *[v.cast("bigint").alias(f"_v{i}") for i, v in enumerate(values.values())])
+    n = range(len(values))
+    sums = own.groupBy(*group, block).agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in n])
     before = W.partitionBy(*group).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    sums = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, block])], "_before")
+    sums = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, block])], *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in n])
     inner = W.partitionBy(*group, block).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    own = own.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate([*group, block])]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return own.join(sums, on).withColumn(out, F.col("_inner") + F.col("_before")).select(*df.columns, out)
+    own = own.select("*", *[F.coalesce(F.sum(f"_v{i}").over(inner), F.lit(0)).alias(f"_i{i}") for i in n])
+    on = F.lit(True)
+    for i, c in enumerate([*group, block]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return own.join(sums, on).select(*df.columns, *[(F.col(f"_i{i}") + F.col(f"_b{i}")).alias(out) for i, out in enumerate(values)])

@@ -13,6 +13,15 @@ def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load([*paths]).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def job_manifest(files: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """(kind, name, bytes, sha256, rows): a file manifest beside how many rows each named result has."""
+    out = files.select(F.lit("file").alias("kind"), F.col("path").alias("name"), "bytes", "sha256", F.lit(None).cast("bigint").alias("rows"))
+    for name, rows in counts.items():
+        n = rows.agg(F.count(F.lit(1)).alias("rows"))
+        out = out.unionByName(n.select(F.lit("result").alias("kind"), F.lit(name).alias("name"), F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("sha256"), "rows"))
+    return out
+
+
 def changed_files(spark: SparkSession, manifest: DataFrame, *paths: str) -> DataFrame:
     """(path, recorded, found): files whose content is no longer the recorded one, or that are gone or new; none opens the gate."""
     now = file_manifest(spark, *paths).select("path", F.col("sha256").alias("found"))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions import tokenizers
 from weftline.operators import bm25, chunk, expect, ordered, provenance, segment, stats, vectors, windows
-from weftline.session import table
-from weftline.sources import transcripts
+from weftline.session import cut, table
+from weftline.sources import records, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 MANIFEST = "gte_multilingual_base_child_v1_manifest"
 THRESHOLDS = [60, 120, 250]
 TARGET, OVERLAP = 120, 30
@@ -52,7 +55,7 @@ def _utterances(spark: SparkSession, sf: str) -> DataFrame:
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
     """The utterances with text, their tokens, and a dense sequence in source order."""
     rows = _utterances(spark, sf).where(T.clean_text(F.col("text")) != "").select("talk_id", "source_line", "text", "start_time", "start_seconds", "source_label", T.token_count(F.col("text")).alias("tokens"))
-    return segment.dense_sequence(rows, "talk_id", "source_line", "sequence_index")
+    return segment.dense_sequence(cut(rows), "talk_id", "source_line", "sequence_index")
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +159,8 @@ def rejects(spark, sf):
 
 
 @_query(f"""WITH {_U}, {_T}, b AS (SELECT talk_id, string_agg('[' || coalesce(start_time, '') || '] ' || text, chr(10) ORDER BY source_line) AS body FROM u WHERE text IS NOT NULL GROUP BY talk_id)
-    SELECT t.talk_id, concat_ws(chr(10), coalesce(title, ''), coalesce(primary_speaker, ''), concat_ws(' - ', start_time, end_time), '', coalesce(body, '')) AS rendering FROM t LEFT JOIN b USING (talk_id)""")
+    SELECT t.talk_id, 'Evento: ' || coalesce(event_title, '') || chr(10) || 'Ponencia: ' || coalesce(title, '') || chr(10) || 'Ponente(s): ' || coalesce(array_to_string(speakers, ', '), '') || chr(10) || 'Rango: ' || coalesce(start_time, '') || ' - ' || coalesce(end_time, '')
+    || chr(10) || 'ID: ' || t.talk_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(body, '') || chr(10) AS rendering FROM t LEFT JOIN b USING (talk_id)""")
 def rendered_talks(spark, sf):
     return transcripts.rendered(_talks(spark, sf), _utterances(spark, sf).where("text IS NOT NULL"))
 
@@ -662,10 +666,75 @@ def cosine_topk_batch(spark, sf):
     return _rounded(vectors.cosine_top_k(rows, "vec_id", "embedding", asked, 10, skip_self=True), "cosine")
 
 
-@_query()
+@_query(f"""WITH {_C}, w AS (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{{L}}\\p{{N}}]+')) AS token FROM c WHERE text IS NOT NULL),
+    h AS (SELECT id, ('0x' || substr(md5(token), 1, 6))::BIGINT % 64 AS pos, sum(CASE WHEN ('0x' || substr(md5(token), 7, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM w GROUP BY 1, 2)
+    SELECT id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 4) AS x FROM h WHERE x != 0""")
 def encode_chunks(spark, sf):
-    """All chunks' texts encoded by the built-in stand-in for a model."""
-    return vectors.encode(_chunks(spark, sf), "chunk_id", "text")
+    """All chunks' texts encoded by the built-in encoder, their numbers that aren't 0."""
+    out = vectors.encode(_chunks(spark, sf), "chunk_id", "text", longest=8192)
+    return out.select("id", F.posexplode("embedding").alias("pos", "x")).where("x != 0").withColumn("x", F.round(F.col("x").cast("double"), 4))
+
+
+@_query(f"WITH {_C} SELECT chunk_id, tokens FROM c WHERE tokens > 125")
+def overlong_inputs(spark, sf):
+    """Chunks that an encoder for at most 125 tokens would refuse."""
+    return _counted(spark, sf).where("tokens > 125").select("chunk_id", "tokens")
+
+
+def _vector_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "chunk_vectors").dropDuplicates(["row_index"]).join(_manifest(spark, sf), "row_index")
+    fine = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    return rows.where(fine)
+
+
+@_query(f"""WITH {_C}, {_M}, v AS (SELECT DISTINCT row_index, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0 AND row_index IN (SELECT row_index FROM m)),
+    h AS (SELECT a.row_index AS query_id, b.row_index AS id, list_cosine_similarity(a.e, b.e) AS cosine, (row_number() OVER (PARTITION BY a.row_index ORDER BY round(list_cosine_similarity(a.e, b.e), 10) DESC, b.row_index))::INT AS rank FROM v a, v b WHERE a.row_index % 50 = 0 QUALIFY rank <= 3)
+    SELECT query_id, rank, m.chunk_id AS id, round(cosine, 6) AS score, c.talk_id, c.title, c.chunk_index FROM h JOIN m ON h.id = m.row_index JOIN c ON m.chunk_id = c.chunk_id""")
+def vector_hits(spark, sf):
+    """The chunks nearest to the asked chunks' vectors, with what is known of them."""
+    rows = _vector_rows(spark, sf)
+    asked = rows.where("row_index % 50 = 0").select(F.col("row_index").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    near = vectors.cosine_top_k(rows.dropDuplicates(["row_index"]), "row_index", "embedding", asked, 3)
+    named = near.join(_manifest(spark, sf), F.col("id") == F.col("row_index")).select("query_id", "rank", F.col("chunk_id").alias("id"), F.round("cosine", 6).alias("score"))
+    about = _chunks(spark, sf).select(F.col("chunk_id").alias("id"), "talk_id", "title", "chunk_index")
+    return bm25.described(named, about)
+
+
+@_query(f"""WITH {_C}, {_M}, a AS (SELECT row_number() OVER (ORDER BY chunk_id) - 1 AS position, chunk_id AS e FROM c), b AS (SELECT row_number() OVER (ORDER BY row_index, chunk_id) - 1 AS position, chunk_id AS f FROM m),
+    k AS (SELECT 'count_expected' AS check_name, (SELECT count(*) FROM a) = (SELECT count(*) FROM b) AS ok UNION ALL SELECT 'same_ids', e IS NOT NULL AND f IS NOT NULL FROM (SELECT DISTINCT e FROM a) x FULL JOIN (SELECT DISTINCT f FROM b) y ON e = f
+        UNION ALL SELECT 'same_order', coalesce(e = f, FALSE) FROM a FULL JOIN b ON a.position = b.position)
+    SELECT check_name, bool_and(ok) AS passed, count(*) FILTER (NOT ok) AS violations FROM k GROUP BY 1""")
+def manifest_checks(spark, sf):
+    """The vectors' manifest against the chunks: number, ids and order."""
+    want = ordered.numbered(_chunks(spark, sf).select("chunk_id"), [], F.substring("chunk_id", 1, 12), ["chunk_id"], "position")
+    have = ordered.numbered(_manifest(spark, sf), [], F.floor(F.col("row_index") / 10_000), ["row_index", "chunk_id"], "position")
+    return expect.collection_checks(have, want, "chunk_id")
+
+
+@_query("""WITH k AS (SELECT chunk_id AS key, unnest([CASE WHEN text IS NULL THEN 'text is missing' WHEN trim(text) = '' THEN 'text is blank' END, CASE WHEN talk_id IS NULL THEN 'talk_id is missing' END, CASE WHEN NOT coalesce(token_count > 0, FALSE) THEN 'token_count isn''t positive' END]) AS problem FROM chunks)
+    SELECT key, problem FROM k WHERE problem IS NOT NULL UNION ALL SELECT chunk_id, 'chunk_id isn''t unique' FROM chunks GROUP BY chunk_id HAVING count(*) > 1""")
+def record_problems(spark, sf):
+    """What keeps recorded chunks from being read as records: missing or blank fields, counts that aren't positive, repeated ids."""
+    return records.required(table(spark, sf, "chunks"), "chunk_id", "text", "talk_id", positive=("token_count",))
+
+
+def _subword(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks' tokens by two public tokenizers, the second with the tokens that it puts around a text, and without."""
+    a, b, bare = (tokenizers.counter(spark, f"{TOKENIZERS}/{name}", special) for name, special in (("byte_bpe_50k.tiktoken", False), ("piece_bpe_32k.model", True), ("piece_bpe_32k.model", False)))
+    text = F.col("text")
+    return _chunks(spark, sf).select("chunk_id", "talk_id", a(text).alias("a_tokens"), b(text).alias("b_tokens"), bare(text).alias("b_bare"))
+
+
+@_query()
+def tokenizer_comparison(spark, sf):
+    """Every chunk by two subword tokenizers: difference, ratio, the special tokens, and whether the second exceeds a limit."""
+    return stats.compare(_subword(spark, sf), "a_tokens", "b_tokens", 512).withColumn("special_tokens", F.col("b_tokens") - F.col("b_bare")).drop("b_bare")
+
+
+@_query()
+def tokenizer_summary(spark, sf):
+    """Totals, ratios and signed differences of the two tokenizers over everything and per talk."""
+    return _summary(stats.compare_summary(stats.compare(_subword(spark, sf), "a_tokens", "b_tokens", 512), "a_tokens", "b_tokens", "talk_id"))
 
 
 def queries() -> dict[str, Query]:

@@ -43,12 +43,19 @@ def rejects(rows: DataFrame, line: str = "line") -> DataFrame:
     return found.select(*[c for c in rows.columns if c != line], clean_text(F.col(line)).alias("line")).where("line != ''")
 
 
+#: The names of the header's lines, and what parts it from the body. Fixed format.
+HEADER, RULE = ("Evento", "Ponencia", "Ponente(s)", "Rango", "ID"), "\n---\n"
+
+
 def rendered(talks: DataFrame, spoken: DataFrame) -> DataFrame:
-    """(talk_id, rendering): a header of the talk's title, speaker and bounds, and '[time] text' lines in source order.
+    """(talk_id, rendering): a header of the talk's event, title, speakers, bounds and id, and '[time] text' lines in source order.
 
-    talks: (talk_id, title, primary_speaker, start_time, end_time); spoken: (talk_id, source_line, start_time, text).
+    talks: (talk_id, event_title, title, speakers, start_time, end_time); spoken: (talk_id, source_line, start_time, text). What is
+    null is left empty; a talk without lines has an empty body.
     """
-    body = F.array_sort(F.collect_list(F.struct("source_line", F.concat(F.lit("["), F.coalesce("start_time", F.lit("")), F.lit("] "), "text").alias("t"))))
+    some = lambda c: F.coalesce(c, F.lit(""))
+    body = F.array_sort(F.collect_list(F.struct("source_line", F.concat(F.lit("["), some(F.col("start_time")), F.lit("] "), "text").alias("t"))))
     bodies = spoken.groupBy("talk_id").agg(F.array_join(body["t"], "\n").alias("body"))
-    head = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("primary_speaker", F.lit("")), F.concat_ws(" - ", "start_time", "end_time"), F.lit(""))
-    return talks.join(bodies, "talk_id", "left").select("talk_id", F.concat_ws("\n", head, F.coalesce("body", F.lit(""))).alias("rendering"))
+    held = F.col("event_title"), F.col("title"), F.array_join("speakers", ", "), F.concat(some(F.col("start_time")), F.lit(" - "), some(F.col("end_time"))), F.col("talk_id")
+    head = [F.concat(F.lit(f"{name}: "), some(value)) for name, value in zip(HEADER, held)]
+    return talks.join(bodies, "talk_id", "left").select("talk_id", F.concat(F.concat_ws("\n", *head, F.lit(RULE), some(F.col("body"))), F.lit("\n")).alias("rendering"))
