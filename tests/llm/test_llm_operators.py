@@ -119,7 +119,7 @@ def test_talks_have_their_parts_and_all_their_languages(spark, tmp_path):
     assert sum(r.talk_id == "t" and not r.source_line for r in got) == 59
     assert [(r.start_char, r.end_char, r.lang) for r in got if r.talk_id == "w" or r.source_line] == [(0, 25, "en")] * 2
     rows = {(r.talk_id, r.source_line, r.lang) for r in llm.p3_languages(spark, str(tmp_path)).collect()}
-    assert rows == {("t", 5, "en"), ("t", 0, "en"), ("t", 0, "de"), ("w", 0, "en")}
+    assert rows == {("t", 5, "en"), ("t", 0, "en"), ("t", 0, "de"), ("w", 0, "en"), ("v", 0, None)}
     assert llm.p3_found(spark, str(tmp_path)).where("lang = 'de'").count() == 0  # a 32nd of the lines
 
 
@@ -402,3 +402,58 @@ def test_words_count_whole():
     counts.add(f"{long}. Then we met. {long}a said so.")
     kind, key, *_ = counts.rows()
     assert {("c", f"{long}."), ("o", "Then"), ("o", f"{long}a")} <= {*zip(kind, key)}
+
+
+def test_cut_documents_come_from_the_packing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a " * 25), (2, "b " * 10), (3, "c " * 7), (4, None)], "doc_id bigint, text string")
+    kinds = spark.createDataFrame([("box", 10)], "container_name string, capacity_tokens int")
+    assert {tuple(r) for r in packing.cut_documents(docs, kinds).collect()} == {("box", 1)}
+    # a packer that loses what it is given loses the document that stands in two of its containers
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *x: whole(*x).where("part = 1"))
+    assert packing.cut_documents(docs, kinds).count() == 0
+
+
+def test_short_sources_follow_a_broken_schedule(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "s" if i < 4 else "t", 10) for i in range(40)], "doc_id bigint, source string, tokens int")
+    targets = spark.createDataFrame([("m", "s", 0.5, 1, 200), ("m", "t", 0.5, 1, 200)], "mix_name string, source string, target_share double, max_repeats int, budget_tokens bigint")
+    assert {tuple(r) for r in mixing.short_sources(docs, targets).collect()} == {("m", "s")}
+    # if the draw loses a source's documents, the source is short, whatever the table holds of it
+    plan = mixing._plan
+    monkeypatch.setattr(mixing, "_plan", lambda *x: (*plan(*x)[:2], plan(*x)[2].where("source != 't'")))
+    assert {tuple(r) for r in mixing.short_sources(docs, targets).collect()} == {("m", "s"), ("m", "t")}
+
+
+def test_ngrams_that_share_a_slot_are_all_kept(monkeypatch):
+    rows = [("en", "the quick brown fox jumps over the lazy dog"), ("de", "der schnelle braune Fuchs springt über den faulen Hund")]
+    letters = [x for _, text in rows for *_, x in languages.parts(text)] + ["the the the " * 3000]
+    wide = languages.Profiles(rows)
+    want = wide.judge(letters)
+    monkeypatch.setattr(languages.Profiles, "BITS", 2)
+    for a, b in zip(want, languages.Profiles(rows).judge(letters)):
+        assert np.array_equal(a, b)
+    assert [wide.codes[i] for i in want[0]] == ["en", "de", "en"]
+
+
+def test_confidence_is_that_of_the_language_given(spark):
+    p = languages.Profiles([("en", "the house is on the hill and the sun shines"), ("de", "das Haus steht auf dem Berg und die Sonne scheint"), ("nl", "het huis staat op de berg en de zon schijnt")])
+    text = "die Sonne scheint auf dem Berg."
+    (_, _, _, lang, sure), = languages._judged(p, [text], [[]])
+    assert lang == "de" and sure > 0.5
+    best, mean = p.judge([x for *_, x in languages.parts(text)])
+    mean[0, p.codes.index("nl")] = mean[0, best[0]] * 1.1
+    p.judge = lambda letters: (best, mean)
+    (_, _, _, lang, claimed), = languages._judged(p, [text], [["nl"]])
+    assert lang == "nl" and claimed < 0.5
+    p = languages.Profiles([("en", "the house")])
+    assert [x[3:] for x in languages._judged(p, ["犬が好き。"], [[]])] == [(None, 0.0)]
+
+
+def test_every_text_has_a_language_row(spark):
+    from weftline.session import table
+
+    samples = table(spark, "/root/testdata/sf0.001", "language_samples")
+    spoken = spark.createDataFrame([("t", 1, "Thank you all for coming.", "en"), ("t", 2, None, "en"), ("t", 3, "[Music]", None), ("t", 3, "[Music]", None)], "talk_id string, source_line int, text string, lang string")
+    talks = spark.createDataFrame([("t", "mmm\nThank you all for coming.", ["en"]), ("v", None, None), ("w", "...", None)], "talk_id string, text string, languages array<string>")
+    rows = sorted((r.talk_id, r.source_line, r.lang or "", r.confidence > 0) for r in languages.row_languages(spoken, talks, samples).collect())
+    assert rows == [("t", 0, "en", True), ("t", 1, "en", True), ("t", 2, "", False), ("t", 3, "", False), ("v", 0, "", False), ("w", 0, "", False)]

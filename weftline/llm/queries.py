@@ -123,6 +123,10 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"{terms} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p4_terms": f"{terms} SELECT term, occurrences, records, mark FROM marked",
         "p5_found": f"{pairs} SELECT DISTINCT least(i, j) AS row_index_a, greatest(i, j) AS row_index_b FROM near WHERE r <= 5 AND c >= 0.95",
+        "p5_neighbors": f"""{usable}, near AS (SELECT a.row_index, b.row_index AS neighbor, list_cosine_similarity(a.e, b.e) AS c,
+                 (row_number() OVER (PARTITION BY a.row_index ORDER BY round(list_cosine_similarity(a.e, b.e), 12) DESC, b.row_index))::INT AS rank
+                 FROM v a JOIN v b ON a.row_index != b.row_index WHERE a.row_index % 50 = 0)
+            SELECT row_index, neighbor, round(c, 6) AS cosine, rank FROM near WHERE rank <= 5""",
         "p6_found": f"SELECT container_name, doc_id FROM documents, containers WHERE {count} > capacity_tokens",
         "p7_found": f"""
             WITH sizes AS (SELECT lower(trim(source)) AS s, sum({count}) AS n FROM documents GROUP BY 1)
