@@ -209,11 +209,12 @@ def _refined(routed: DataFrame, over: DataFrame, visits: int, leaf: int, sample:
 ROUTED_NAMES = [x.split()[0] for x in ROUTED.split(", ")]
 
 
-def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visits: int = 12, leaf: int = 256, sample: int = 20_000, queries: Column | None = None, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visits: int | None = None, leaf: int = 256, sample: int = 20_000, queries: Column | None = None, block: int = 2048) -> DataFrame:
     """(a, b, cosine): for each distinct vector a that queries selects, its k most similar others with at least floor.
 
     vectors: (id bigint, packed binary), ids unique and vectors distinct. Trees are fitted on at most about sample vectors each.
     Leaves of more than block vectors are split by further trees; one that no plane splits is searched in blocks, all of them.
+    visits: how many leaves a query looks into; if not given, four times the root of their number, which grows with the vectors.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -226,7 +227,7 @@ def search(vectors: DataFrame, k: int, floor: float = -1.0, trees: int = 8, visi
     points = points / np.linalg.norm(points, axis=1, keepdims=True)
     depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(points) / 8, 1)))))
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth))
-    visits = max(visits, trees)
+    visits = max(trees, visits or math.ceil(4 * math.sqrt(trees * max(1, n / leaf))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -350,5 +351,5 @@ def neighbors(rows: DataFrame, k: int = 5, floor: float = -1.0, only: Column | N
 
 def close_pairs(vectors: DataFrame, manifest: DataFrame, k: int = 5, least: float = 0.95, **how) -> DataFrame:
     """(row_index_a, row_index_b), a < b: pairs of at least that cosine of which one is among the k most similar of the other."""
-    near = neighbors(assigned(vectors, manifest), k, floor=least, **how)
+    near = neighbors(assigned(vectors, manifest), k, floor=least, **{"visits": 12} | how)
     return near.select(F.least("row_index", "neighbor").alias("row_index_a"), F.greatest("row_index", "neighbor").alias("row_index_b")).distinct()

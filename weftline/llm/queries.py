@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 nearest of every vector whose row_index 50 divides, among all vectors."""
     rows = neighbors.assigned(table(spark, sf, "chunk_vectors"), table(spark, sf, MANIFEST))
-    near = neighbors.neighbors(rows, 5, only=F.col("row_index") % 50 == 0, visits=256)
+    near = neighbors.neighbors(rows, 5, only=F.col("row_index") % 50 == 0)
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
