@@ -49,8 +49,9 @@ def test_subword_states_are_exact(spark):
 
 def test_budget_slices(spark):
     talks = spark.createDataFrame([("t", ["es-MX", "English"], "d", NOW), ("t", ["es-MX", "English"], "d", NOW + dt.timedelta(days=2)), ("u", None, None, NOW)], "talk_id string, languages array<string>, domain string, ingested_at timestamp")
+    told = spark.createDataFrame([("t", "en+es")], "talk_id string, language string")
     rows = [("c1", "e", "t", "uno dos", 2, NOW, "", 0), ("c2", "e", "u", None, 5, NOW, "", 0), ("c3", "e", None, "x", None, NOW, "", 0)]
-    got = {(r.language, r.domain): (r.chunks, r.tokens, r.wrong_counts) for r in tokens.budget(chunks(spark, rows), talks, LANGS).collect()}
+    got = {(r.language, r.domain): (r.chunks, r.tokens, r.wrong_counts) for r in tokens.budget(chunks(spark, rows), talks, told).collect()}
     assert got == {("en+es", "d"): (1, 2, 0), ("und", None): (2, 1, 2)}
 
 

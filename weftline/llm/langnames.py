@@ -8,10 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession
 
 #: Codes that some catalogues use beside ISO 639-2/T, and names that locale data doesn't hold. Fixed values.
 EXTRA = {"fre": "fr", "ger": "de", "chi": "zh", "cmn": "zh", "arb": "ar", "mandarin": "zh", "castellano": "es", "castilian": "es", "ภาษาไทย": "th", "汉语": "zh", "普通话": "zh", "漢語": "zh", "عربي": "ar"}
@@ -59,15 +56,3 @@ def parse(value: str | None, table: dict[str, str]) -> list[str]:
         if code and code not in found:
             found.append(code)
     return found
-
-
-def named(spark: SparkSession, value: Column, codes: list[str]) -> Column:
-    """The codes that a string column names, as an array, empty for null."""
-    table = names(spark, codes)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        seen: dict = {}
-        return s.map(lambda x: seen[x] if x in seen else seen.setdefault(x, parse(x, table)))
-
-    return run(value)

@@ -303,14 +303,21 @@ def row_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, s
     return found.drop("n", "lines").unionByName(blank)
 
 
+def talk_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1) -> DataFrame:
+    """(talk_id, language): the languages that at least that share of a talk's lines is in, sorted and joined by '+'; talks in none are left
+    out. The utterances only lend their labelled texts to the profiles."""
+    found = _line_languages(utterances, talks, samples, share, judged=False).where("lang IS NOT NULL")
+    return found.groupBy("talk_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), "+").alias("language"))  # as many as there are profiles
+
+
 def unnamed_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float = 0.1) -> DataFrame:
     """(talk_id, source_line, lang): the languages of utterances and, with source_line 0, those of at least that share of the lines of
     talks, that their labels don't name."""
     return _line_languages(utterances, talks, samples, share).where("NOT named AND lang IS NOT NULL").select("talk_id", "source_line", "lang")
 
 
-def _line_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float, size: int = 4000) -> DataFrame:
-    """row_languages of the texts that aren't null or blank, with n, the lines in the language, and lines, all of them.
+def _line_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame, share: float, size: int = 4000, judged: bool = True) -> DataFrame:
+    """row_languages of the texts that aren't null or blank, with n, the lines in the language, and lines, all of them; judged: of utterances too.
 
     Lines go to tasks by talk and text: the line of a talk's text and the utterance it comes from meet in one task and are judged
     once, and neither a long talk nor a frequent line burdens one task.
@@ -322,7 +329,7 @@ def _line_languages(utterances: DataFrame, talks: DataFrame, samples: DataFrame,
     # a talk's repeated row doubles all its lines, which leaves their shares as they are
     texts = talks.where("text IS NOT NULL").select("talk_id", "text", F.array_join("languages", ";").alias("lang"))
     lines = texts.select("talk_id", F.lit(0).alias("source_line"), F.explode(F.split("text", "\n")).alias("text"), "lang")
-    both = spoken.unionByName(lines).hint("rebalance", "talk_id", "text").sortWithinPartitions("talk_id", "text")
+    both = (spoken.unionByName(lines) if judged else lines).hint("rebalance", "talk_id", "text").sortWithinPartitions("talk_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}

@@ -17,17 +17,15 @@ MANIFEST = "gte_multilingual_base_child_v1_manifest"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _codes(spark: SparkSession, sf: str) -> list[str]:
-    return sorted(r[0] for r in table(spark, sf, "language_samples").select("lang").distinct().collect())
-
-
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.wrong_counts(table(spark, sf, "chunks"))
 
 
 def p1_budget(spark: SparkSession, sf: str) -> DataFrame:
     subword = tokens.ByteBpe(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
-    return tokens.budget(table(spark, sf, "chunks"), table(spark, sf, "talks"), _codes(spark, sf), subword)
+    talks = table(spark, sf, "talks")
+    told = languages.talk_languages(table(spark, sf, "utterances"), talks, table(spark, sf, "language_samples"))
+    return tokens.budget(table(spark, sf, "chunks"), talks, told, subword)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from weftline.session import cut
 
 from .common import once
-from .langnames import named
 
 HOT = 2000
 
@@ -150,11 +149,11 @@ def wrong_counts(chunks: DataFrame) -> DataFrame:
     return counted_chunks(chunks).where(~F.col("token_count").eqNullSafe(F.col("tokens"))).select("chunk_id")
 
 
-def budget(chunks: DataFrame, talks: DataFrame, languages: list[str], subword: ByteBpe | None = None) -> DataFrame:
-    """Tokens by event, language of the talk and domain, counted anew: the recorded counts aren't trusted.
+def budget(chunks: DataFrame, talks: DataFrame, languages: DataFrame, subword: ByteBpe | None = None) -> DataFrame:
+    """Tokens by event, language of the talk and domain, counted anew: the recorded counts aren't trusted, nor are the talks' labels.
 
-    The language is what talks.languages names, sorted and joined by '+', or 'und'. Chunks of unknown talks have language
-    'und' and a null domain. With a subword tokenizer its tokens are summed too.
+    languages: (talk_id, language), unique; a talk that isn't there has 'und'. Chunks of unknown talks have a null domain. With a
+    subword tokenizer its tokens are summed too.
     """
     counted = counted_chunks(chunks)
     if subword:
@@ -162,11 +161,10 @@ def budget(chunks: DataFrame, talks: DataFrame, languages: list[str], subword: B
         counted = counted.join(count_tokens(rows, "chunk_id", F.col("text"), subword).withColumnRenamed("tokens", "subword_tokens"), "chunk_id")
     else:
         counted = counted.withColumn("subword_tokens", F.lit(None).cast("bigint"))
-    about = once(talks.select("talk_id", "languages", "domain", "ingested_at"), "talk_id", arrival="ingested_at")
-    codes = named(chunks.sparkSession, F.array_join("languages", ";"), languages)
-    about = about.select("talk_id", F.coalesce(F.nullif(F.array_join(F.array_sort(codes), "+"), F.lit("")), F.lit("und")).alias("language"), "domain")
+    about = once(talks.select("talk_id", "domain"), "talk_id")
     return (
         counted.join(about, "talk_id", "left")
+        .join(languages, "talk_id", "left")
         .groupBy("event_id", F.coalesce("language", F.lit("und")).alias("language"), "domain")
         .agg(
             F.count(F.lit(1)).alias("chunks"),
