@@ -88,15 +88,11 @@ def layouts(labels: DataFrame) -> DataFrame:
 
     labels: (label, n, tokens, shape, size, first, last, names_of_talk array, speakers_of_talk int) once per talk and label.
     """
-    def slot(i: Column) -> Column:
-        token, bare = F.get("tokens", i), F.get("bare", i)
-        hit = F.array_contains("name_words", bare) | (F.length(token) == 1) & F.exists("name_words", lambda w: w.startswith(bare))
-        return F.struct(i.alias("pos"), F.get("shape", i).alias("shape"), hit.alias("hit"), token.try_cast("bigint").between(1, F.col("speakers_of_talk")).alias("fits"))
-
-    # each label's slots are judged in it, so that what is exploded is narrow
-    judged = labels.where("size > 0").withColumn("bare", F.transform("tokens", _bare)).withColumn("_slots", F.transform(F.sequence(F.lit(0), F.col("size") - 1), slot))
-    slots = judged.select("size", "first", "last", "n", F.inline("_slots"))
-    hit, fits = F.col("hit"), F.col("fits")
+    slots = labels.where("size > 0").withColumn("pos", F.sequence(F.lit(0), F.col("size") - 1))
+    slots = slots.select("size", "first", "last", "n", "name_words", "speakers_of_talk", F.inline(F.arrays_zip("pos", "shape", "tokens"))).withColumnRenamed("tokens", "token")
+    slots = slots.withColumn("bare", _bare(F.col("token")))
+    hit = F.array_contains("name_words", F.col("bare")) | F.when(F.length("token") == 1, F.exists("name_words", lambda w: w.startswith(F.col("bare")))).otherwise(False)
+    fits = F.col("token").try_cast("bigint").between(1, F.col("speakers_of_talk"))
     # counts per token first: a layout that most lines share is then a few rows per position
     per = slots.groupBy("size", "first", "last", "pos", "shape").agg(F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("name"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("fits"))
     at = per.groupBy("size", "first", "last", "pos").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("name").alias("name"), F.max_by("shape", "n").alias("shape"), F.sum("fits").alias("fits"))
