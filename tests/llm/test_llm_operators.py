@@ -458,3 +458,11 @@ def test_every_text_has_a_language_row(spark):
     talks = spark.createDataFrame([("t", "mmm\nThank you all for coming.", ["en"]), ("v", None, None), ("w", "...", None)], "talk_id string, text string, languages array<string>")
     rows = sorted((r.talk_id, r.source_line, r.lang or "", r.confidence > 0) for r in languages.row_languages(spoken, talks, samples).collect())
     assert rows == [("t", 0, "en", True), ("t", 1, "en", True), ("t", 2, "", False), ("t", 3, "", False), ("v", 0, "", False), ("w", 0, "", False)]
+
+
+def test_annotations_may_be_long(spark):
+    long = "the audience in the back rows laughs and claps for a long while"
+    texts = [f"*{long}*", f"({long})", f"[{long}]", f"*{long}* yes"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.s for r in df.orderBy("i").select(turns.is_spoken(F.col("text")).alias("s")).collect()] == [False, False, False, True]
+    assert [len(languages.parts(t)) for t in texts] == [0, 0, 0, 1]

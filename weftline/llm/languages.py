@@ -27,7 +27,7 @@ ABSENT = 6000
 OFTEN = 0.002
 NEARLY = 1.15
 _CLUTTER = re.compile(r"[\[【{<♪*(（\d]|-->")
-_NOISE = re.compile(r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|\*[^*]{1,30}\*|[(（][^()（）.!?。！？]{0,40}[)）]|-->|\d+(?:[:.,]\d+)*")
+_NOISE = re.compile(r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|\*[^*]+\*|[(（][^()（）.!?。！？]*[)）]|-->|\d+(?:[:.,]\d+)*")
 _PART = re.compile(r"[^.!?…。！？؟।॥\n]+[.!?…。！？؟।॥]*[\"'”’»」』）)]*")
 _HEAD = re.compile(r"\s*(?:[^\W\d_a-z][\w'’.]*\s+){0,3}[^\W\d_a-z][\w'’.]*\s*[:：]\s+")
 _FOREIGN = re.compile(r"[\u0370-\u1dff\u2c80-\ua71f\ua800-\uaaff\uac00-\ud7ff\uf900-\ufaff\ufb1d-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0003ffff]")

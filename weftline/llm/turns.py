@@ -28,10 +28,10 @@ BLOCK_SECONDS = 600
 
 _WORD = r"(\p{L}[\p{L}\p{M}'’]*|[0-9]+|[^\s\p{L}\p{M}\p{N}])"
 _CLOCK = r"\[?\(?\b[0-9]{1,3}:[0-5]?[0-9](?::[0-5]?[0-9])?(?:[.,][0-9]+)?\b\)?\]?"
-_SOUND = r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]{1,40}\*|[(（][^()（）.!?。！？]{0,30}[)）]|-->|" + _CLOCK
+_SOUND = r"\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]+\*|[(（][^()（）.!?。！？]*[)）]|-->|" + _CLOCK
 #: Sounds in round brackets, which otherwise are the speaker's own; the other brackets hold nothing else. Fixed values.
 _NAMED_SOUNDS = "aplausos|risas|música|musica|inaudible|ruido de fondo|applause|laughter|music|background noise|risos|inaudível|inaudivel|applaudissements|rires|musique|Applaus|Gelächter|Musik|unverständlich|аплодисменты|смех|музыка|неразборчиво|拍手|笑い|音楽|掌声|笑声|音乐|تصفيق|ضحك|موسيقى|तालियाँ|हँसी|संगीत|เสียงปรบมือ|เสียงหัวเราะ|ดนตรี"
-_SOUND_ONLY = r"(?iu)\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]{1,40}\*|[(（](?:" + _NAMED_SOUNDS + r")(?:\s*[0-9:]+)?[)）]|-->|" + _CLOCK
+_SOUND_ONLY = r"(?iu)\[[^\]]*\]|【[^】]*】|\{[^}]*\}|<[^>]*>|♪[^♪]*♪|♪|\*[^*]+\*|[(（](?:" + _NAMED_SOUNDS + r")(?:\s*[0-9:]+)?[)）]|-->|" + _CLOCK
 #: Hesitation sounds of the languages. Fixed values.
 _UM = "eh|em|este|m+|er|uh|um|hm+|hum|hã|ha|ah|ahn|euh|heu|äh|ähm|ahm|э-э|э|эм|мм|えーと|えと|あのー|あの|うーん|うん|呃|嗯|唔|آه|اه|ا?ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
 _UM_IN_TEXT = "eh|em|mmm+|er|uh|um|hmm+|hum|hã|ahn|euh|heu|äh|ähm|hm|э-э|эм|мм|えーと|あのー|うーん|呃|嗯|唔|آه|ممم|अम्म|उम्म|हम्म|เอ่อ|อืม"
