@@ -146,6 +146,16 @@ def test_bm25_against_a_loop(spark):
     assert bm25.summary(bm25.build(spark.createDataFrame([], "id string, text string"), "id", "text")).first().documents == 0
 
 
+def test_bm25_shuffles_many_asked_terms_with_equal_results(spark, monkeypatch):
+    # one term in nine of ten documents
+    docs = [(f"d{i:03}", "hot " * (1 + i % 3) + (f"w{i % 7}" if i % 10 else "cold")) for i in range(300)]
+    index = bm25.build(spark.createDataFrame(docs, "id string, text string"), "id", "text")
+    ask = spark.createDataFrame([("q1", "hot cold"), ("q2", "w3 w3 hot"), ("q3", None), ("q4", "nowhere")], "query_id string, query_text string")
+    few = sorted(map(tuple, bm25.top_k(index, ask, 20).collect()))
+    monkeypatch.setattr(bm25, "MOST_SENT", 0)
+    assert sorted(map(tuple, bm25.top_k(index, ask, 20).collect())) == few and {r[0] for r in few} == {"q1", "q2"}
+
+
 def test_cosine_search_and_bad_vectors(spark):
     v = [(0, [1.0, 0.0]), (1, [0.8, 0.6]), (2, [-1.0, 0.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, None), (6, [2.0, 0.0])]
     df = spark.createDataFrame(v, "id bigint, e array<float>")
