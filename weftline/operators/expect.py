@@ -85,10 +85,10 @@ def record_checks(made: DataFrame, rows: DataFrame, target: int, overlap: int) -
     """The chunk suite: checks of whole records (chunk.records) against the rows they were made of and the settings, each with the
     number of chunks that break it, of talks for talks_covered and covered_once, and of ids for ids_unique.
 
-    rows: (talk_id, sequence_index, source_line, text, tokens). A chunk may carry over the whole of the one before if that is less
+    rows: (talk_id, sequence_index, source_line, text, tokens), read three times, so a table rather than a costly plan. A chunk may carry over the whole of the one before if that is less
     than the overlap.
     """
-    made, rows = cut(made.drop("utterances")), cut(rows.select("talk_id", "sequence_index", "source_line", "text", "tokens"))  # each is read several times
+    made, rows = cut(made.drop("utterances")), rows.select("talk_id", "sequence_index", "source_line", "text", "tokens")  # read several times
     w = W.partitionBy("talk_id").orderBy("chunk_index")
     # what a record should hold, from the rows themselves
     placed = made.select("chunk_id", "talk_id", "new_start_sequence_index", F.explode(F.sequence("start_sequence_index", "end_sequence_index")).alias("sequence_index"))

@@ -38,8 +38,9 @@ def histogram(values: DataFrame, value: str, scope: str | None = None, bins: tup
         at = F.when(inside & (F.col(value) <= high) if high is not None else inside, i).otherwise(at)
     key = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
     counts = values.where(F.col(value).isNotNull()).groupBy(F.coalesce(key, F.lit("")).alias("scope"), at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy(F.lit(None).cast("string").alias("scope"), "bin").agg(F.sum("n").alias("n"))
-    counts = whole.unionByName(counts) if scope else whole
+    # each scope's counts stand for everything too, once they are few
+    everything = F.lit(None).cast("string")
+    counts = counts.select(F.explode(F.array("scope", everything) if scope else F.array(everything)).alias("scope"), "bin", "n")
     wide = counts.groupBy("scope").agg(F.sum("n").alias("_all"), *[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"_{i}") for i in range(len(bins))])
     each = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(low).alias("low"), F.lit(high).cast("int").alias("high"), F.col(f"_{i}").alias("count")) for i, (low, high) in enumerate(bins)])
     out = wide.withColumn("_b", F.explode(each))

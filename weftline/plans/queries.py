@@ -52,10 +52,14 @@ def _utterances(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "utterances").drop("ingested_at").dropDuplicates(["talk_id", "source_line"])
 
 
+def _with_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The utterances with text, and their tokens."""
+    return _utterances(spark, sf).where(T.clean_text(F.col("text")) != "").select("talk_id", "source_line", "text", "start_time", "start_seconds", "source_label", T.token_count(F.col("text")).alias("tokens"))
+
+
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
     """The utterances with text, their tokens, and a dense sequence in source order."""
-    rows = _utterances(spark, sf).where(T.clean_text(F.col("text")) != "").select("talk_id", "source_line", "text", "start_time", "start_seconds", "source_label", T.token_count(F.col("text")).alias("tokens"))
-    return segment.dense_sequence(cut(rows), "talk_id", "source_line", "sequence_index")
+    return segment.dense_sequence(cut(_with_text(spark, sf)), "talk_id", "source_line", "sequence_index")
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +232,7 @@ def sequence_check(spark, sf):
 
 @_query(f"WITH {_S} SELECT talk_id, count(*)::INT AS utterance_count, string_agg(text, chr(10) ORDER BY source_line) AS text FROM s GROUP BY 1")
 def talk_docs(spark, sf):
-    return segment.documents(_spoken(spark, sf), "talk_id", "source_line", "text").select("talk_id", "utterance_count", "text")
+    return segment.documents(_with_text(spark, sf), "talk_id", "source_line", "text").select("talk_id", "utterance_count", "text")
 
 
 @_query(f"WITH {_T} SELECT talk_id, content_sha256 AS recorded, sha256(text) AS found FROM t WHERE content_sha256 IS DISTINCT FROM sha256(text)")
@@ -305,7 +309,7 @@ def _percentiles(v: str) -> str:
 
 @_query(f"WITH {_S} SELECT talk_id AS scope, count(*)::BIGINT AS count, sum(tokens)::BIGINT AS total, min(tokens) AS min, max(tokens) AS max, round(avg(tokens), 6) AS mean, {_percentiles('tokens')} FROM s GROUP BY GROUPING SETS ((), (talk_id))")
 def token_stats_scoped(spark, sf):
-    out = stats.describe(_spoken(spark, sf), "tokens", "talk_id")
+    out = stats.describe(_with_text(spark, sf), "tokens", "talk_id")
     return _rounded(out, "mean", *[f"p{p}" for p in stats.PERCENTS])
 
 
@@ -316,7 +320,7 @@ def _bins(bins: tuple) -> str:
 @_query(f"""WITH {_S}, b(bin, low, high) AS (VALUES {_bins(stats.TOKEN_BINS)}), g AS (SELECT NULL AS scope, tokens FROM s UNION ALL SELECT talk_id, tokens FROM s), n AS (SELECT scope, count(*) AS n FROM g GROUP BY 1)
     SELECT n.scope, b.bin, b.low, b.high::INT AS high, count(g.tokens)::BIGINT AS count, round(count(g.tokens) / max(n.n), 6) AS share FROM n CROSS JOIN b LEFT JOIN g ON g.scope IS NOT DISTINCT FROM n.scope AND g.tokens >= low AND (high IS NULL OR g.tokens <= high) GROUP BY 1, 2, 3, 4""")
 def token_histogram(spark, sf):
-    return _rounded(stats.histogram(_spoken(spark, sf), "tokens", "talk_id"), "share")
+    return _rounded(stats.histogram(_with_text(spark, sf), "tokens", "talk_id"), "share")
 
 
 @_query(f"""WITH {_C}, b(bin, low, high) AS (VALUES {_bins(stats.CHUNK_BINS)}), n AS (SELECT count(*) AS n FROM c)
@@ -392,7 +396,7 @@ _WINDOWS = f"""th(threshold) AS (VALUES {', '.join(f'({t})' for t in THRESHOLDS)
 
 @_query(f"WITH {_S}, {_WINDOWS} SELECT talk_id, source_line, threshold, rows, reached FROM w")
 def windows_to_threshold(spark, sf):
-    out = windows.to_threshold(_spoken(spark, sf), "talk_id", "source_line", "tokens", THRESHOLDS)
+    out = windows.to_threshold(cut(_with_text(spark, sf).select("talk_id", "source_line", "tokens")), "talk_id", "source_line", "tokens", THRESHOLDS)
     return out.withColumn("rows", F.col("rows").cast("bigint"))
 
 
@@ -420,8 +424,8 @@ _CHUNKS = f"""{_S}, l AS (SELECT talk_id, count(*)::INT AS n, list_prepend(0::BI
         reason, tb AS tokens_before, ta AS tokens_after, abs({TARGET} - tb) AS distance_before, abs(ta - {TARGET}) AS distance_after FROM k)"""
 
 
-def _made(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk.chunks(_spoken(spark, sf), TARGET, OVERLAP)
+def _made(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return chunk.chunks(_spoken(spark, sf) if rows is None else rows, TARGET, OVERLAP)
 
 
 @_query(f"WITH {_CHUNKS} SELECT * FROM ch")
@@ -431,7 +435,8 @@ def chunks(spark, sf):
 
 @_query(f"WITH {_CHUNKS}, h AS (SELECT talk_id, count(*)::BIGINT AS rows FROM s GROUP BY 1) SELECT h.talk_id, h.rows, coalesce(sum(new_utterance_count), 0)::BIGINT AS new_rows, count(ch.chunk_id)::BIGINT AS chunks, coalesce(sum(new_utterance_count) = h.rows, FALSE) AS once FROM h LEFT JOIN ch USING (talk_id) GROUP BY h.talk_id, h.rows")
 def chunk_coverage(spark, sf):
-    return chunk.coverage(_made(spark, sf), _spoken(spark, sf))
+    rows = cut(_spoken(spark, sf))
+    return chunk.coverage(_made(spark, sf, rows), rows)
 
 
 @_query(f"WITH {_CHUNKS}, nf AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY talk_id ORDER BY chunk_index DESC) > 1) SELECT talk_id AS scope, count(*)::BIGINT AS count, sum(token_count)::BIGINT AS total, min(token_count) AS min, max(token_count) AS max, round(avg(token_count), 6) AS mean, {_percentiles('token_count')} FROM nf GROUP BY GROUPING SETS ((), (talk_id))")
@@ -461,8 +466,10 @@ _RECORDS = f"""{_CHUNKS}, mm AS (SELECT ch.chunk_id, s.*, s.sequence_index < ch.
         string_agg(source_line || CASE WHEN is_overlap THEN '*' ELSE '' END, ' ' ORDER BY sequence_index) AS lines, list(start_time ORDER BY sequence_index) AS clocks FROM mm GROUP BY 1)"""
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk.records(_made(spark, sf), _spoken(spark, sf), _talks(spark, sf))
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Whole chunk records, and the rows that they were made of."""
+    rows = cut(_spoken(spark, sf))
+    return chunk.records(_made(spark, sf, rows), rows, _talks(spark, sf)), rows
 
 
 @_query(f"""WITH {_RECORDS}, {_T} SELECT ch.chunk_id, event_id, ch.talk_id, title, primary_speaker, chunk_index, start_source_line, end_source_line, clocks[1] AS start_time, clocks[-1] AS end_time, token_count, new_token_count AS new_content_token_count,
@@ -474,13 +481,15 @@ def chunk_records(spark, sf):
     o = F.col("overlap_with_previous")
     lines = F.array_join(F.transform("utterances", lambda u: F.concat(u["source_line"].cast("string"), F.when(u["is_overlap"], "*").otherwise(""))), " ")
     plain = ["chunk_id", "event_id", "talk_id", "title", "primary_speaker", "chunk_index", "start_source_line", "end_source_line", "start_time", "end_time", "token_count", "new_content_token_count", "content_sha256", "text"]
-    return _records(spark, sf).select(*plain, o["previous_chunk_id"].alias("previous_chunk_id"), o["token_count"].alias("overlap_tokens"), F.col("closure.candidate_sequence_index").alias("candidate_sequence_index"), lines.alias("lines"))
+    made, _ = _records(spark, sf)
+    return made.select(*plain, o["previous_chunk_id"].alias("previous_chunk_id"), o["token_count"].alias("overlap_tokens"), F.col("closure.candidate_sequence_index").alias("candidate_sequence_index"), lines.alias("lines"))
 
 
 @_query(f"""WITH {_RECORDS} SELECT chunk_id, count(*) FILTER (is_overlap) AS carried, count(*) FILTER (NOT is_overlap) AS new FROM mm GROUP BY 1""")
 def chunk_members(spark, sf):
     """How many rows of each chunk are carried over and how many new, counted by their flags."""
-    placed = chunk.members(_made(spark, sf), _spoken(spark, sf))
+    rows = cut(_spoken(spark, sf))
+    placed = chunk.members(_made(spark, sf, rows), rows)
     return placed.groupBy("chunk_id").agg(F.count_if("is_overlap").alias("carried"), F.count_if(~F.col("is_overlap")).alias("new"))
 
 
@@ -496,7 +505,7 @@ _RECORD_CHECKS = ["index_consecutive", "id_fits_index", "rows_consecutive", "tex
     SELECT check_name, count(bad.check_name) = 0 AS passed, count(bad.check_name)::BIGINT AS violations FROM v LEFT JOIN bad USING (check_name) GROUP BY 1""")
 def record_checks(spark, sf):
     """The whole chunk suite over the records made here."""
-    return expect.record_checks(_records(spark, sf), _spoken(spark, sf), TARGET, OVERLAP)
+    return expect.record_checks(*_records(spark, sf), TARGET, OVERLAP)
 
 
 @_query(f"""WITH {_C}, w AS (SELECT *, overlap_with_previous AS o, closure AS cl, row_number() OVER x AS nth, lag(chunk_id) OVER x AS pid, lag(end_sequence_index) OVER x AS pe, lag(start_sequence_index) OVER x AS ps FROM c WINDOW x AS (PARTITION BY talk_id ORDER BY chunk_index)),
