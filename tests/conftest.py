@@ -44,3 +44,23 @@ def same(df, rel) -> tuple[list, list]:
     got = sorted(tuple(cell(r[c]) for c in names) for r in df.collect())
     want = sorted(tuple(map(cell, r)) for r in rel.select(*[f'"{c}"' for c in names]).fetchall())
     return got, want
+
+
+def shuffled(df):
+    """Runs df; (rows, bytes) that its shuffles write."""
+    df.collect()
+    rows = size = 0
+    left = [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(node.plan())
+        else:
+            left += [node.children().apply(i) for i in range(node.children().size())]
+            if name == "Exchange":
+                rows += node.metrics().get("shuffleRecordsWritten").get().value()
+                size += node.metrics().get("shuffleBytesWritten").get().value()
+    return rows, size

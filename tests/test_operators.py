@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import shuffled
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window as W
@@ -157,26 +158,6 @@ def test_bm25_shuffles_many_asked_terms_with_equal_results(spark, monkeypatch):
     assert sorted(map(tuple, bm25.top_k(index, ask, 20).collect())) == few and {r[0] for r in few} == {"q1", "q2"}
 
 
-def shuffled(df):
-    """Runs df; (rows, bytes) that its shuffles write."""
-    df.collect()
-    rows = size = 0
-    left = [df._jdf.queryExecution().executedPlan()]
-    while left:
-        node = left.pop()
-        name = node.nodeName()
-        if name == "AdaptiveSparkPlan":
-            left.append(node.executedPlan())
-        elif name.endswith("QueryStage"):
-            left.append(node.plan())
-        else:
-            left += [node.children().apply(i) for i in range(node.children().size())]
-            if name == "Exchange":
-                rows += node.metrics().get("shuffleRecordsWritten").get().value()
-                size += node.metrics().get("shuffleBytesWritten").get().value()
-    return rows, size
-
-
 def test_bm25_search_shuffles_the_best_pairs_only(spark):
     # every query shares a term with every document: 2000 x 60 pairs, of which a task keeps 2 a query
     docs = spark.createDataFrame([(f"d{i:04}", "hot " * (1 + i % 3) + f"w{i % 11}") for i in range(2000)], "id string, text string")

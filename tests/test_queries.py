@@ -1,7 +1,7 @@
 """Every registered core query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import DATA, same
+from conftest import DATA, same, shuffled
 
 from weftline.plans import queries as core
 
@@ -24,3 +24,9 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
 def test_others_have_rows(spark, name):
     assert Q[name](spark, str(DATA)).count() > 0
+
+
+def test_search_hits_shuffles_the_hits_chunks_only(spark):
+    chunks = spark.read.parquet(f"{DATA}/chunks.parquet").count()
+    hits = Q["search_hits"](spark, str(DATA))
+    assert 0 < shuffled(hits)[0] < chunks / 2 and 0 < hits.count() < chunks / 4

@@ -62,8 +62,12 @@ def _spoken(spark: SparkSession, sf: str) -> DataFrame:
     return segment.dense_sequence(cut(_with_text(spark, sf)), "talk_id", "source_line", "sequence_index")
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").drop("ingested_at").dropDuplicates(["chunk_id"])
+def _chunks(spark: SparkSession, sf: str, among: DataFrame | None = None) -> DataFrame:
+    """Every chunk once; among: only those whose chunk_id it has, chosen before rows are shuffled."""
+    rows = table(spark, sf, "chunks").drop("ingested_at")
+    if among is not None:
+        rows = rows.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    return rows.dropDuplicates(["chunk_id"])
 
 
 def _counted(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,8 +599,8 @@ def bm25_topk_padded(spark, sf):
     FROM (SELECT h.*, c.talk_id, c.title, c.start_sequence_index, c.end_sequence_index, c.text, trim(regexp_replace(text, {_SPACE}, ' ', 'g')) AS f FROM h JOIN c ON h.id = c.chunk_id)""")
 def search_hits(spark, sf):
     """The best hits with what a reader wants to see of them, and their whole text; a hit that no chunk is known of is an error."""
-    hits = _rounded(bm25.top_k(_index(spark, sf), _asked(spark, sf), 5), "score")
-    about = _chunks(spark, sf).select(F.col("chunk_id").alias("id"), "talk_id", "title", "start_sequence_index", "end_sequence_index", T.preview(F.col("text"), 220).alias("preview"), "text")
+    hits = cut(_rounded(bm25.top_k(_index(spark, sf), _asked(spark, sf), 5), "score"))
+    about = _chunks(spark, sf, hits.select(F.col("id").alias("chunk_id"))).select(F.col("chunk_id").alias("id"), "talk_id", "title", "start_sequence_index", "end_sequence_index", T.preview(F.col("text"), 220).alias("preview"), "text")
     return bm25.described(hits, about)
 
 
